@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import knn_forest, leakage, mixing, near_dups, repeated_lines, splitter
+from tessella.llm import knn_forest, leakage, mixing, moderation, near_dups, repeated_lines, splitter
 from tessella.llm.common import table
 
 
@@ -68,5 +68,18 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_scores(spark, d).where("flagged").select("doc_id")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return moderation.score_texts(docs, moderation.fit(docs, table(spark, d, "moderation_labels")))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return moderation.source_rates(table(spark, d, "documents"), p8_scores(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
