@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import cut
+
 #: The grade of each label.
 GRADES = {"ok": 0, "sexual": 1, "abuse": 2, "hate": 3}
 #: At most so many labelled documents of either kind (bad, ok) are used for training, those of the smallest hashes.
@@ -64,6 +66,8 @@ WORDS = {
     "self": "i me my myself ich mir mich je moi mon yo mi me",
 }
 
+KIND_MARKS = {"#insult", "#threat", "#dehumanise", "#sex"}
+
 # Graded example passages of our own.
 EXAMPLES = [
     (2, "You are a worthless idiot and nobody wants you here."), (2, "Shut up, you stupid piece of trash."), (2, "I will find you and break your legs."),
@@ -281,11 +285,11 @@ def _telling(docs: list[tuple[list[set[str]], int]], own: list[tuple[frozenset[s
     bad, fine = Counter(), Counter()
     n = [1, 1]
     for ps, y in docs:
-        n[not y] += 1
-        (bad if y else fine).update(set().union(*ps) if ps else ())
+        n[y <= 0] += 1
+        (bad if y > 0 else fine).update(set().union(*ps) if ps else ())
     first = {f for x, _, _ in own for f in x}
     first |= {f for f, k in bad.items() if k >= 3 and k / n[0] > 2.5 * (fine[f] + 1) / n[1]}
-    marks = {f for f in first if f[0] != "#" and bad[f] / n[0] > 2.5 * (fine[f] + 1) / n[1]} | {"#insult", "#threat", "#dehumanise", "#sex"}
+    marks = {f for f in first if f[0] != "#" and bad[f] / n[0] > 2.5 * (fine[f] + 1) / n[1]} | KIND_MARKS
     beside: Counter = Counter()
     for ps, _ in docs:
         for p in ps:
@@ -296,7 +300,8 @@ def _telling(docs: list[tuple[list[set[str]], int]], own: list[tuple[frozenset[s
 
 
 def train(labelled: list[tuple[str, int]], rounds: int = 3) -> Model:
-    """labelled: text and grade of documents."""
+    """labelled: text and grade of documents, -1 of unlabelled ones that stand in for fine ones.  Of these a passage
+    counts as fine only where the model doesn't find it bad, at first where it has no word of the bad kinds."""
     own = [(frozenset(features(" ".join(passages(e)))), y, 2.0) for y, e in EXAMPLES]
     docs = [([features(p) for p in passages(t)], y) for t, y in labelled if t]
     telling = _telling(docs, own)
@@ -323,7 +328,9 @@ def train(labelled: list[tuple[str, int]], rounds: int = 3) -> Model:
         for ps, y in docs:
             top = max(ps, key=lambda x: -9.0 if x in plain else s[x]) if r else ps[0]
             sure = 1 / (1 + math.exp(cuts[0] - s[top])) if r and top not in plain else 0.0
-            if not y:
+            if y < 0:
+                negative.update(p for p in ps if p not in doubted and (s[p] < cuts[0] - 1 if r else sets[p].isdisjoint(KIND_MARKS)))
+            elif not y:
                 if sure < (0.97 if r == 1 else 0.9):
                     negative.update(p for p in ps if p not in doubted)
             elif sure > 0.3:
@@ -345,14 +352,22 @@ def agreed_labels(labels: DataFrame) -> DataFrame:
 
 def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Train on at most max_labelled bad and as many fine labelled documents (the smallest hashes of doc_id): this
-    bounded sample is all that comes to the driver."""
-    agreed = agreed_labels(labels)
-    some = None
-    for bad in (True, False):
-        part = agreed.where((F.col("grade") > 0) == bad).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-        some = part if some is None else some.unionByName(part)
-    rows = documents.select("doc_id", "text").where("text is not null").join(some, "doc_id").select("doc_id", "text", "grade").dropDuplicates(["doc_id"]).collect()
-    return train([(r["text"], r["grade"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
+    bounded sample is all that comes to the driver.  Where fewer fine ones are labelled, unlabelled documents stand in
+    for them: most are fine, and those that the model finds bad don't count."""
+    agreed = cut(agreed_labels(labels), "p8-labels")
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    bad = agreed.where("grade > 0").orderBy(*order).limit(max_labelled)
+    fine = agreed.where("grade = 0").orderBy(*order).limit(max_labelled)
+    ids = {r["doc_id"]: r["grade"] for part in (bad, fine) for r in part.collect()}
+    lack = max_labelled - sum(not g for g in ids.values())
+    texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
+    if lack > 0:
+        more = texts.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").orderBy(*order).limit(lack)
+        ids |= {r["doc_id"]: -1 for r in more.collect()}
+    if not ids:
+        return train([])
+    rows = texts.where(F.col("doc_id").isin(sorted(ids))).dropDuplicates(["doc_id"]).collect()  # reads row groups by id
+    return train([(r["text"], ids[r["doc_id"]]) for r in sorted(rows, key=lambda r: r["doc_id"])])
 
 
 def score_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut_at: float = 0.5) -> DataFrame:

@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import knn_forest, leakage, mixing, moderation, near_dups, repeated_lines, splitter
+from tessella.llm import furniture, knn_forest, leakage, mixing, moderation, near_dups, repeated_lines, splitter
 from tessella.llm.common import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return furniture.furniture_lines(table(spark, d, "embedding_requests"))
+
+
+def p1_main_body(spark: SparkSession, d: str) -> DataFrame:
+    return furniture.main_body(table(spark, d, "embedding_requests"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, d, "chunks"))
 
