@@ -54,6 +54,7 @@ NOTICE = re.compile(r"""^(
   | (get|receive)\ (our|the)\ (\w+\ )*newsletter\b.* | newsletter(\ abonnieren.*)? | .*\bnewsletter\b.*\b(abonnieren|anmelden|abonnez-vous|inscrivez-vous|suscríbase)\b.*
   | (abonnez-vous|inscrivez-vous|suscríbase|abonnieren\ sie|jetzt\ abonnieren)\b.*
   | join\ [\d.,]+\ (readers|subscribers|members|others)\b.* | download\ our\ (free\ )?app\b.* | get\ (our|the)\ (free\ )?app\b.*
+  | (tags|labels|filed\ under|schlagwörter|étiquettes|mots-clés|etiquetas)\s*:.*
   | (call|ring)\ (our|the)\ (desk|office|team|hotline)\ on\b.*\d.* | (©|\(c\)\ |copyright\ |&copy;).* | .*\b(all\ rights\ reserved|alle\ rechte\ vorbehalten|tous\ droits\ réservés|todos\ los\ derechos\ reservados)\W*
   | powered\ by\b.{1,60} | no\ part\ of\ this\ (web)?site\ may\ be\b.* | (back\ to|return\ to)\ (the\ )?top\W* | nach\ oben\W* | (retour\ en\ )?haut\ de\ (la\ )?page\W* | volver\ arriba\W*
 )$""", re.X)
@@ -185,7 +186,7 @@ def furniture(lines: list[Line], title: str | None, url: str | None, site_items:
         elif bare and len(x.text.split()) > 3 and (seg := _segmented(x.text, known))[0] > 2 and (seg[1] > 0.6 or seg[1] > 0.4 and x.text.isupper()):
             bad[k] = True
         elif _buttons(t)[0]:
-            near = any(CONSENT.search(low[j]) or _buttons(low[j])[1] for j in range(max(0, k - 3), min(n, k + 4)) if j != k)
+            near = any(CONSENT.search(low[j]) or _buttons(low[j])[0] for j in range(max(0, k - 3), min(n, k + 4)) if j != k)
             bad[k] = _buttons(t)[1] or near
         elif x.text.count(",") >= 1 and len(t) < 110 and not _SENTENCE_END.search(t) and re.search(r"\d", t) and (STREET.search(t) or host and t.startswith(host.split()[0])) and (host and t.startswith(host.split()[0]) or x.text.count(",") >= 2):
             bad[k] = True
@@ -231,6 +232,16 @@ def furniture(lines: list[Line], title: str | None, url: str | None, site_items:
             for j in (k - 1, k + 1):  # marks alternate within a sidebar
                 if 0 <= j < n and not bad[j] and low[j].startswith("- ") and not _MEASURE.search(low[j]) and not _SENTENCE_END.search(low[j]) and (j == 0 or j > k or bad[j - 1]):
                     bad[j] = True
+
+    # A piece can begin within a sidebar: titles that are neither the page's own nor a section's.
+    if own_title or slug:
+        for k, x in enumerate(shown):
+            t = x.text
+            if bad[k]:
+                continue
+            if is_title[k] or _HEADING.match(t) or _SENTENCE_END.search(t) or t.startswith(("|", ">")) or re.match(r"\d+[.)]\s", t) or _MEASURE.search(t) or len(t.split()) > 14 or len(t) > 100 or re.search(r"[=(`]", t) or not _MARK.sub("", t)[:1].isupper() or heading(_MARK.sub("", t)) in headings:
+                break
+            bad[k] = True
     return {x.number for x, b in zip(shown, bad) if b}
 
 
