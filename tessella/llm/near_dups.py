@@ -1,9 +1,10 @@
 """Problem 5: near-duplicate texts by b-bit MinHash.
 
 Texts with the same words are one class.  For each class: minima of ROWS x BANDS hash functions over the shingles of
-three words; each band of ROWS minima makes a key; the lowest bit of 128 minima is packed into two longs.  Classes
-that share a key are candidates; the packed bits give an estimate of the similarity, corrected for the half of the
-bits that agree by chance; the pairs that pass are checked exactly over all shingles.
+three words; each band of ROWS minima makes a key; the lowest two bits of every minimum are packed into longs.  Classes
+that share a key are candidates; the count of packed minima that agree gives an estimate of the similarity, corrected
+for the quarter of them that agree by chance, first over 64 minima that travel with the keys, then over all.  The
+pairs that pass are checked exactly over all shingles.
 """
 
 from __future__ import annotations
@@ -17,13 +18,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut
+from tessella.llm.common import cut, small
 
 #: A pair of similarity s is a candidate with probability 1 - (1 - s**ROWS)**BANDS: 0.955 at 0.5, 0.9988 at 0.6.
 ROWS, BANDS = 4, 48
-BITS = 128
+#: Minima packed in a long, longs of all minima, and of those that travel with the band keys.
+LANES = 32
+LONGS, NEAR_LONGS = ROWS * BANDS // LANES, 2
 #: Buckets above this many classes are compared block by block (no pair is lost).
 BLOCK_ROWS = 2048
+#: Up to so many ids of candidates (16 bytes each) are broadcast; beyond that the join with the texts is shuffled.
+MAX_BROADCAST_IDS = 3_000_000
 _SEED = np.random.default_rng(20240501)
 _MUL = _SEED.integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _SEED.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64)
@@ -37,7 +42,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def sketch(texts: pa.Array, n: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts whose words are parted by single spaces: rows with at least n words, their band keys (rows x BANDS,
-    uint32) and packed bits (rows x 2)."""
+    uint32) and packed bits (rows x LONGS)."""
     lists = pc.split_pattern(texts, " ")
     offsets = np.asarray(lists.offsets)
     flat = lists.flatten().dictionary_encode()
@@ -47,7 +52,7 @@ def sketch(texts: pa.Array, n: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndar
     words = codes[np.asarray(flat.indices)] if len(terms) else np.zeros(0, np.uint64)
     lengths = np.diff(offsets)
     rows = np.flatnonzero(lengths >= n)
-    keys, bits = np.empty((len(rows), BANDS), np.uint32), np.empty((len(rows), 2), np.uint64)
+    keys, bits = np.empty((len(rows), BANDS), np.uint32), np.empty((len(rows), LONGS), np.uint64)
     if not len(rows):
         return rows, keys, bits
     # Shingles of all texts in one array; those that would span two texts are left out.
@@ -57,7 +62,7 @@ def sketch(texts: pa.Array, n: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndar
     h = _mixed(h)
     base = offsets[0]
     at = 0
-    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    places = np.arange(LANES, dtype=np.uint64) * np.uint64(2)
     while at < len(rows):  # some thousand shingles at a time stay in the cache
         end, count = at, 0
         while end < len(rows) and (count == 0 or count + lengths[rows[end]] < 60_000):
@@ -79,9 +84,8 @@ def sketch(texts: pa.Array, n: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndar
         for r in range(ROWS):
             band = _mixed(band + m[r * BANDS : (r + 1) * BANDS] + np.uint64(r + 1))
         keys[at:end] = (band >> np.uint64(32)).astype(np.uint32).T
-        low = (m[:BITS] & np.uint64(1)).T
-        bits[at:end, 0] = (low[:, :64] * weights).sum(1, dtype=np.uint64)
-        bits[at:end, 1] = (low[:, 64:] * weights).sum(1, dtype=np.uint64)
+        low = ((m & np.uint64(3)).T.reshape(len(some), LONGS, LANES) << places).sum(2, dtype=np.uint64)
+        bits[at:end] = low
         at = end
     return rows, keys, bits
 
@@ -91,6 +95,9 @@ def normal_words(text: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")))
 
 
+_BITS = tuple(f"b{k}" for k in range(LONGS))
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo in range(0, b.num_rows, 2000):
@@ -99,7 +106,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(rows):
                 take = pa.array(rows)
                 packed = pa.Array.from_buffers(pa.list_(pa.int32()), len(rows), [None, pa.py_buffer(np.arange(0, (len(rows) + 1) * BANDS, BANDS, dtype=np.int32))], children=[pa.array(np.ascontiguousarray(keys).view(np.int32).ravel())])
-                yield pa.RecordBatch.from_arrays([*(c.column(n).take(take) for n in ("id", "h1", "h2")), packed, pa.array(bits[:, 0].copy().view(np.int64)), pa.array(bits[:, 1].copy().view(np.int64))], ["id", "h1", "h2", "bands", "b0", "b1"])
+                yield pa.RecordBatch.from_arrays([*(c.column(n).take(take) for n in ("id", "h1", "h2")), packed, *(pa.array(bits[:, k].copy().view(np.int64)) for k in range(LONGS))], ["id", "h1", "h2", "bands", *_BITS])
 
 
 def word_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -110,30 +117,50 @@ def word_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def classes(df: DataFrame, id_col: str = "point_id", text_col: str = "text") -> DataFrame:
     """One row per class of texts with the same words, as a written table: h1, h2, rep (smallest id), copies, bands, bits."""
-    rows = word_rows(df, id_col, text_col).mapInArrow(_sketches, "id bigint, h1 bigint, h2 bigint, bands array<int>, b0 bigint, b1 bigint")
+    rows = word_rows(df, id_col, text_col).mapInArrow(_sketches, "id bigint, h1 bigint, h2 bigint, bands array<int>, " + ", ".join(f"{b} bigint" for b in _BITS))
     # Equal words, equal sketch: partial aggregation merges the copies before they are shuffled.
-    one = rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("bands").alias("bands"), F.first("b0").alias("b0"), F.first("b1").alias("b1"))
+    one = rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), *(F.first(c).alias(c) for c in ("bands", *_BITS)))
     return cut(one, "p5-classes")
 
 
+def _bar(threshold: float, longs: int) -> int:
+    """Of n packed minima a pair of similarity s agrees in n (1 + 3 s) / 4 on average: the count 3.5 standard deviations
+    below what the threshold gives."""
+    n, p = LANES * longs, (1 + 3 * threshold) / 4
+    return int(n * p - 3.5 * (n * p * (1 - p)) ** 0.5)
+
+
+def _agreeing(left: str, right: str, longs: int) -> Column:
+    """How many of the packed minima agree."""
+    out = F.lit(LANES * longs)
+    for k in range(longs):
+        x = F.col(f"{left}b{k}").bitwiseXOR(F.col(f"{right}b{k}"))
+        out = out - F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return out
+
+
 def candidate_pairs(cls: DataFrame, threshold: float) -> DataFrame:
-    """Pairs a < b of classes that share a band and whose bits agree as often as those of similar texts do.
-
-    Of 128 bits a pair of similarity s agrees in (1 + s) / 2 on average; the bar lies 3.5 standard deviations below
-    what the threshold gives.  A bucket of more than BLOCK_ROWS classes is compared block by block: each member goes
-    to the pairs of blocks that hold it, so that no task holds more than two blocks of it and no pair is lost."""
-    p = (1 + threshold) / 2
-    bar = int(BITS * p - 3.5 * (BITS * p * (1 - p)) ** 0.5)
-    keyed = cls.select("rep", "b0", "b1", F.posexplode("bands").alias("band", "h")).select("rep", "b0", "b1", (F.col("band").cast("bigint") * F.lit(1 << 32) + F.col("h")).alias("key"))
+    """Pairs a < b of classes that share a band and of whose packed minima enough agree.
+
+    A bucket of more than BLOCK_ROWS classes is compared block by block: each member goes to the pairs of blocks that
+    hold it, so that no task holds more than two blocks of it and no pair is lost."""
+    near = _BITS[:NEAR_LONGS]
+    keyed = cls.select("rep", *near, F.posexplode("bands").alias("band", "h")).select("rep", *near, (F.col("band").cast("bigint") * F.lit(1 << 32) + F.col("h")).alias("key"))
     sized = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("int")
-    own = F.pmod(F.hash("rep"), F.col("blocks"))
-    sized = sized.withColumn("blocks", blocks).withColumn("own", own)
-    left = sized.select("key", "rep", "b0", "b1", "own", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("other")).select("key", F.col("own").alias("i"), F.col("other").alias("j"), *(F.col(c).alias(f"l_{c}") for c in ("rep", "b0", "b1")))
-    right = sized.select("key", "rep", "b0", "b1", "own", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("other")).select("key", F.col("other").alias("i"), F.col("own").alias("j"), *(F.col(c).alias(f"r_{c}") for c in ("rep", "b0", "b1")))
-    agree = F.lit(BITS) - F.bit_count(F.col("l_b0").bitwiseXOR(F.col("r_b0"))) - F.bit_count(F.col("l_b1").bitwiseXOR(F.col("r_b1")))
-    pairs = left.join(right, ["key", "i", "j"]).where((F.col("l_rep") != F.col("r_rep")) & ((F.col("i") < F.col("j")) | (F.col("l_rep") < F.col("r_rep"))) & (agree >= bar))
-    return pairs.select(F.least("l_rep", "r_rep").alias("a"), F.greatest("l_rep", "r_rep").alias("b")).distinct()
+    sized = sized.withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("int")).withColumn("own", F.pmod(F.hash("rep"), F.col("blocks")))
+
+    def side(name: str, own: str, other: str, others: Column) -> DataFrame:
+        return sized.withColumn("other", F.explode(others)).select("key", F.col("own").alias(own), F.col("other").alias(other), *(F.col(c).alias(f"{name}{c}") for c in ("rep", *near)))
+
+    left = side("l_", "i", "j", F.sequence(F.col("own"), F.col("blocks") - 1))
+    right = side("r_", "j", "i", F.sequence(F.lit(0), F.col("own")))
+    once = (F.col("i") < F.col("j")) | (F.col("l_rep") < F.col("r_rep"))
+    pairs = left.join(right, ["key", "i", "j"]).where((F.col("l_rep") != F.col("r_rep")) & once & (_agreeing("l_", "r_", NEAR_LONGS) >= _bar(threshold, NEAR_LONGS)))
+    pairs = pairs.select(F.least("l_rep", "r_rep").alias("a"), F.greatest("l_rep", "r_rep").alias("b")).distinct()
+    packed = cls.select("rep", *_BITS)
+    for name, c in (("l_", "a"), ("r_", "b")):
+        pairs = pairs.join(packed.select(F.col("rep").alias(c), *(F.col(x).alias(f"{name}{x}") for x in _BITS)), c)
+    return pairs.where(_agreeing("l_", "r_", LONGS) >= _bar(threshold, LONGS)).select("a", "b")
 
 
 def _verify(threshold: float, n: int):
@@ -161,7 +188,7 @@ def similar_classes(df: DataFrame, cls: DataFrame, threshold: float, id_col: str
     """(a, b, similarity): pairs of class representatives with different words, as a written table."""
     pairs = cut(candidate_pairs(cls, threshold), "p5-candidates")
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "p5-candidate-ids")
-    words = word_rows(df, id_col, text_col).select("id", "w").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    words = word_rows(df, id_col, text_col).select("id", "w").join(small(ids, ids.count(), MAX_BROADCAST_IDS), "id", "left_semi").dropDuplicates(["id"])
     both = pairs.join(words.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
     return cut(both.mapInArrow(_verify(threshold, 3), "a bigint, b bigint, similarity double"), "p5-similar")
 
