@@ -18,12 +18,12 @@ def stage_costs(usage: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def turn_totals(costs: DataFrame) -> DataFrame:
-    return costs.groupBy("ns", "turn").agg(F.sum("input").alias("input"), F.sum("output").alias("output"), F.sum(F.when(F.col("stage") == "embedding", F.col("input")).otherwise(0)).alias("embedding"), F.round(F.sum("cost"), 8).alias("cost"))
+    return costs.groupBy("ns", "turn").agg(F.sum("input").alias("input"), F.sum("output").alias("output"), F.sum(F.when(F.col("stage") == "embedding", F.col("input")).otherwise(0)).alias("embedding"), F.round(F.sum("cost"), 10).alias("cost"))
 
 
 def running_totals(turns: DataFrame) -> DataFrame:
     w = Window.partitionBy("ns").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return turns.select("ns", "turn", F.sum(F.col("input") + F.col("output")).over(w).alias("tokens"), F.round(F.sum("cost").over(w), 8).alias("cost"))
+    return turns.select("ns", "turn", F.sum(F.col("input") + F.col("output")).over(w).alias("tokens"), F.round(F.sum("cost").over(w), 10).alias("cost"))
 
 
 def estimate(chunks: DataFrame, group: str, order: str, text: str, cap: int, rate: float) -> DataFrame:

@@ -295,14 +295,14 @@ def _(spark, d):
     return costs(spark, d)
 
 
-@query("a9_turn_totals", USAGE + "SELECT ns, turn, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(CASE WHEN stage = 'embedding' THEN input ELSE 0 END) AS BIGINT) AS embedding, round(sum(cost), 8) AS cost FROM k GROUP BY 1, 2")
+@query("a9_turn_totals", USAGE + "SELECT ns, turn, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(CASE WHEN stage = 'embedding' THEN input ELSE 0 END) AS BIGINT) AS embedding, round(sum(cost), 10) AS cost FROM k GROUP BY 1, 2")
 def _(spark, d):
     return metering.turn_totals(costs(spark, d))
 
 
-@query("a10_running_totals", USAGE + ", t AS (SELECT ns, turn, sum(input) AS input, sum(output) AS output, round(sum(cost), 8) AS cost FROM k GROUP BY 1, 2) SELECT ns, turn, CAST(sum(input + output) OVER w AS BIGINT) AS tokens, CAST(round(sum(cost) OVER w * 1e8) AS BIGINT) AS cost_e8 FROM t WINDOW w AS (PARTITION BY ns ORDER BY turn ROWS UNBOUNDED PRECEDING)")
+@query("a10_running_totals", USAGE + ", t AS (SELECT ns, turn, sum(input) AS input, sum(output) AS output, round(sum(cost), 10) AS cost FROM k GROUP BY 1, 2) SELECT ns, turn, CAST(sum(input + output) OVER w AS BIGINT) AS tokens, CAST(round(sum(cost) OVER w * 1e10) AS BIGINT) AS cost_e10 FROM t WINDOW w AS (PARTITION BY ns ORDER BY turn ROWS UNBOUNDED PRECEDING)")
 def _(spark, d):
-    return metering.running_totals(metering.turn_totals(costs(spark, d))).select("ns", "turn", "tokens", F.round(F.col("cost") * 1e8).cast("bigint").alias("cost_e8"))
+    return metering.running_totals(metering.turn_totals(costs(spark, d))).select("ns", "turn", "tokens", F.round(F.col("cost") * 1e10).cast("bigint").alias("cost_e10"))
 
 
 # Conversations
