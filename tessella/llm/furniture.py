@@ -72,7 +72,7 @@ _MARKDOWN_LINK = re.compile(r"\[([^\][]+)\]\([^()\s]*\)")
 _HEADING = re.compile(r"^(#{1,6}\s+|={2,6}\s*)")
 _SENTENCE_END = re.compile(r"[.!?;:…][\"'”’»)\]]*$")
 _OF = re.compile(r"\s+(of|von|de|des|du|del|in|bei)\s+\S+$")
-_LETTERS = re.compile(r"[\W\d_]+")
+_SIGNS = re.compile(r"[\W_]+")
 _MEASURE = re.compile(r"\d\s?(km|m|ft|%|°|h)\b|:\s|\d,\d{3}|\d\.\d")
 
 
@@ -190,7 +190,7 @@ def furniture(lines: list[Line], title: str | None, url: str | None, site_items:
             bad[k] = _buttons(t)[1] or near
         elif x.text.count(",") >= 1 and len(t) < 110 and not _SENTENCE_END.search(t) and re.search(r"\d", t) and (STREET.search(t) or host and t.startswith(host.split()[0])) and (host and t.startswith(host.split()[0]) or x.text.count(",") >= 2):
             bad[k] = True
-        elif key is not None and len(t.split()) > 4 and key(t) in repeated:
+        elif key is not None and len(t.split()) > 4 and t[0] != "|" and key(t) in repeated:
             bad[k] = True
 
     # Menus down the page: runs of short lines, of which enough are known items.
@@ -246,10 +246,10 @@ def furniture(lines: list[Line], title: str | None, url: str | None, site_items:
 
 
 def line_key(low: str) -> int:
-    """A line's letters, as a number."""
+    """A line's letters and digits, as a number."""
     from hashlib import blake2b
 
-    return int.from_bytes(blake2b(_LETTERS.sub("", low).encode(), digest_size=8).digest(), "little", signed=True)
+    return int.from_bytes(blake2b(_SIGNS.sub("", low).encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def is_html(document_type: Column) -> Column:

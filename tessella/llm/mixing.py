@@ -25,11 +25,12 @@ def source_key(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
 
 
-def _sized(df: DataFrame, targets: DataFrame, source_col: str, text_col: str) -> DataFrame:
-    """df with _source, the target's spelling, and _tokens; rows of other or no sources drop out.  The targets are one
-    row a source, of which there are few; they're not broadcast by hint, so the planner decides by their size."""
+def _sized(df: DataFrame, targets: DataFrame, source_col: str, text_col: str, *keep: str) -> DataFrame:
+    """The kept columns with _source, the target's spelling, and _tokens; rows of other or no sources drop out.  The
+    targets are one row a source, of which there are few; the planner decides by their size whether to broadcast."""
     names = targets.select(F.col("source").alias("_source"), source_key(F.col("source")).alias("_k")).dropDuplicates(["_k"])
-    return df.withColumn("_k", source_key(F.col(source_col))).join(names, "_k").drop("_k").withColumn("_tokens", words_of(F.col(text_col)))
+    rows = df.select(*(F.col(c).alias(c) for c in keep), source_key(F.col(source_col)).alias("_k"), words_of(F.col(text_col)).alias("_tokens"))
+    return rows.join(names, "_k").drop("_k")
 
 
 def source_plan(df: DataFrame, targets: DataFrame, size: float = 0.6, source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -78,7 +79,7 @@ def mix(df: DataFrame, targets: DataFrame, size: float = 0.6, shards: int = 32,
     if not 1 <= blocks <= 4096:
         raise ValueError("blocks must be from 1 to 4096")
     spark = df.sparkSession
-    rows = _sized(df, targets, source_col, text_col).where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col("_source").alias("source"), F.col("_tokens").alias("tokens"), F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(blocks)).cast("int").alias("block"))
+    rows = _sized(df, targets, source_col, text_col, id_col).where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col("_source").alias("source"), F.col("_tokens").alias("tokens"), F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(blocks)).cast("int").alias("block"))
     rows = cut(rows, "p7-rows")
     counts = rows.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")).collect()
     plan = {r["source"]: r for r in source_plan(df, targets, size, source_col, text_col).select("source", "planned", "max_repeats").collect()}
