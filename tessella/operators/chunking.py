@@ -17,7 +17,7 @@ def word_windows(df: DataFrame, id_col: str, text_col: str, size: int, overlap:
     step = size - min(overlap, size - 1)
     w = F.filter(F.split(F.col(text_col), r"[ \t\n\r]+"), lambda x: x != "")
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), w.alias("w")).where(F.size("w") > 0)
-    end = F.size("w") - 1 if not drop_tail_overlap else F.greatest(F.lit(0), F.size("w") - 1 - (size - step))
+    end = F.greatest(F.lit(0), F.size("w") - 1 - ((size - step) if drop_tail_overlap else 0))
     starts = rows.select(id_col, "w", F.sequence(F.lit(0), end, F.lit(step)).alias("s"))
     return starts.select(id_col, F.size("s").alias("total_chunks"), "w", F.posexplode("s").alias("chunk_index", "start")).select(id_col, "chunk_index", "total_chunks", F.array_join(F.slice("w", F.col("start") + 1, size), " ").alias("text"), F.least(F.lit(size), F.size("w") - F.col("start")).alias("words"))
 
