@@ -22,7 +22,7 @@ from tessella.llm.common import cut
 
 HASH_BITS = 60
 #: A run is divided as long as both halves keep LEAF vectors; prefixes of STEP bits are counted at a time.
-LEAF, TREES, STEP = 6_000, 12, 10
+LEAF, TREES, STEP = 6_000, 16, 10
 #: Runs above this many vectors that no prefix divides are compared in blocks of this size against all of the run.
 BLOCK = 16_384
 
