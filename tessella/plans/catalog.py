@@ -482,3 +482,34 @@ def _(spark, d):
 def _(spark, d):
     r = table(spark, d, "embedding_requests").where(F.lower(F.trim("document_type")) == "html").dropDuplicates(["request_id"])
     return extraction.html_sections(r, id_col="request_id", html_col="content")
+
+
+@query("o3_sorted_fragments", C + ", f AS (SELECT point_id, base_url, lower(regexp_extract(url, '#(.*)$', 1)) AS fragment, coalesce(chunk_index, 1000000000000) AS i FROM c WHERE base_url IS NOT NULL AND url IS NOT NULL) SELECT point_id, CAST(row_number() OVER (PARTITION BY base_url ORDER BY fragment, i, point_id) AS INTEGER) AS pos FROM f")
+def _(spark, d):
+    w = Window.partitionBy("base_url").orderBy(F.lower(F.regexp_extract("url", "#(.*)$", 1)), F.coalesce("chunk_index", F.lit(10**12)), "point_id")
+    return chunks(spark, d, "base_url", "url", "chunk_index").where("base_url is not null and url is not null").select("point_id", F.row_number().over(w).alias("pos"))
+
+
+@query("a15_upper_median", "SELECT o_custkey, list_sort(list(o_totalprice))[len(list(o_totalprice)) // 2 + 1] AS median FROM orders GROUP BY 1")
+def _(spark, d):
+    """The upper median of each group: sorted values, number n div 2 from 0.  By rank, so no group is gathered in a list."""
+    w = Window.partitionBy("o_custkey")
+    ranked = table(spark, d, "orders").select("o_custkey", "o_totalprice", F.row_number().over(w.orderBy("o_totalprice")).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
+    return ranked.where("r = n div 2 + 1").select("o_custkey", F.col("o_totalprice").alias("median"))
+
+
+@query("a19_distinct_stages", "SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS stages FROM events GROUP BY 1")
+def _(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("stages"))
+
+
+@query("f20_source_entries", MSG + "SELECT conv_id, turn, len(regexp_extract_all(text, '(\\[[0-9]+(?:, ?[0-9]+)*\\][^\\[]*)')) AS entries FROM m")
+def _(spark, d):
+    return messages(spark, d).select("conv_id", "turn", F.size(T.source_entries(F.col("text"))).cast("bigint").alias("entries"))
+
+
+@query("a7_payload_fields", "SELECT domain, count(title) AS title, count(section) AS section, count(subsection) AS subsection, count(page_number) AS page_number FROM (SELECT DISTINCT * FROM chunks) GROUP BY 1")
+def _(spark, d):
+    """How many points of each domain have each payload field: the union of field names is those above 0."""
+    c = chunks(spark, d, "domain", "title", "section", "subsection", "page_number")
+    return c.groupBy("domain").agg(*(F.count(x).alias(x) for x in ("title", "section", "subsection", "page_number")))
