@@ -217,9 +217,9 @@ def near_duplicate_pairs(df: DataFrame, threshold: float = 0.5, expand_up_to: in
     return across.unionByName(copies).select(F.col("a").alias(f"{id_col}_a"), F.col("b").alias(f"{id_col}_b"), "similarity")
 
 
-def near_duplicate_groups(df: DataFrame, threshold: float = 0.8, id_col: str = "point_id", text_col: str = "text", max_rounds: int = 60) -> DataFrame:
-    """(id, group_id, links): every row with text, the smallest id of its connected group, and the number of other
-    classes its text is linked to.
+def near_duplicate_groups(df: DataFrame, threshold: float = 0.5, id_col: str = "point_id", text_col: str = "text", max_rounds: int = 60) -> DataFrame:
+    """(id, group_id, links): every id, the smallest id of its connected group, and the number of other classes its
+    text is linked to.  Texts without words (null, blank) are linked to nothing: each is a group of its own.
 
     Components over class representatives by alternating large-star and small-star rounds, each written to the shared
     folder, until nothing changes; a hub's edges are re-hung to smaller neighbours, never gathered into one list."""
@@ -242,5 +242,7 @@ def near_duplicate_groups(df: DataFrame, threshold: float = 0.8, id_col: str = "
         last = now
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "rep")
     per = cls.select("h1", "h2", "rep").join(roots, "rep", "left").join(links.withColumnRenamed("u", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    rows = word_rows(df, id_col, text_col).select("id", "h1", "h2").distinct()
+    words = F.when(F.col("w") != "", F.struct(F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2")))
+    rows = df.select(F.col(id_col).alias("id"), normal_words(F.col(text_col)).alias("w")).where("id is not null")
+    rows = rows.groupBy("id").agg(F.collect_set(words).alias("x")).select("id", F.explode_outer("x").alias("x")).select("id", "x.h1", "x.h2")
     return rows.join(per, ["h1", "h2"], "left").select(F.col("id").alias(id_col), F.coalesce("group_id", "id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -53,7 +53,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
-    return near_dups.near_duplicate_groups(table(spark, d, "chunks"))
+    return near_dups.near_duplicate_groups(table(spark, d, "chunks"), 0.5)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

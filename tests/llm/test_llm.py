@@ -182,6 +182,15 @@ def test_near_duplicates(spark, monkeypatch):
     assert near_dups.near_duplicate_pairs(df.limit(0)).count() == 0
 
 
+def test_groups_hold_all_edited_copies(spark):
+    base = [f"w{k}" for k in range(40)]
+    edited = base[:10] + ["x"] + base[11:30] + ["y"] + base[31:]  # similarity 32 / 44, between 0.5 and 0.8
+    texts = [(1, " ".join(base)), (2, " ".join(edited)), (2, " ".join(edited)), (3, "other words altogether here"), (4, None), (5, ""), (6, " -- "), (7, None), (8, "two words"), (None, "x")]
+    df = spark.createDataFrame(texts, "point_id long, text string")
+    got = sorted((r.point_id, r.group_id, r.links) for r in near_dups.near_duplicate_groups(df).collect())
+    assert got == [(1, 1, 1), (2, 1, 1)] + [(k, k, 0) for k in range(3, 9)]
+
+
 # 6
 
 
