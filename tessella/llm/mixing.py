@@ -1,7 +1,7 @@
 """Problem 7: mix sources to target weights.
 
-Each source's documents fall into blocks by a seeded hash.  Whole passes over a small source come first, then as many
-of its blocks, in a seeded order, as the quota takes.  The chosen blocks are dealt to output shards by a splitting
+Each source's documents fall into blocks by a seeded hash.  Whole passes over a small source come first, then those of
+its blocks, in a seeded order, that the quota still takes; the last of it is filled by document.  The chosen blocks are dealt to output shards by a splitting
 tree: each node deals the block counts of all sources between its two halves by a multivariate hypergeometric draw,
 so that every shard gets an exact number of blocks of each source.  Within a shard rows are ordered by a seeded hash.
 Only counts by source and block, both bounded, ever reach the driver.
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import cut
 
+_MOST = (1 << 63) - 1
+
 
 def words_of(text: Column) -> Column:
     """Tokens: maximal runs of characters other than space, tab and line breaks."""
@@ -75,7 +77,9 @@ def mix(df: DataFrame, targets: DataFrame, size: float = 0.6, shards: int = 32,
     """The mixture: (id, source, copy, block, shard, position key, tokens), a row for each time a document is used.
 
     blocks (at most 4096) is the number of blocks a source is cut into: the driver gets sources x blocks counts, never
-    rows.  A document has one block, so the blocks of one pass are disjoint."""
+    rows.  A document has one block, so the blocks of one pass are disjoint.  Of a pass that the quota does not take in
+    whole, blocks that don't fit are skipped; what is then left is filled by document, so that a source misses its
+    planned tokens by less than one document."""
     if not 1 <= blocks <= 4096:
         raise ValueError("blocks must be from 1 to 4096")
     spark = df.sparkSession
@@ -86,25 +90,74 @@ def mix(df: DataFrame, targets: DataFrame, size: float = 0.6, shards: int = 32,
     by: dict[str, dict[int, int]] = {}
     for r in counts:
         by.setdefault(r["source"], {})[r["block"]] = r["tokens"]
-    chosen: dict[str, list[tuple[int, int]]] = {}
+    chosen: dict[str, list[tuple[int, int, int, int, float]]] = {}  # copy, block, low, high, bar: see _documents
+    open_: dict[str, tuple[int, float, list[int]]] = {}
     for s in sorted(by):
         rng, left, use = np.random.default_rng([seed, *s.encode()]), plan[s]["planned"], []
         for copy in range(plan[s]["max_repeats"]):
-            for b in rng.permutation(sorted(by[s])):
-                n = by[s][int(b)]
-                if n and left < n / 2:  # the nearest whole number of blocks to the quota
-                    left = -1.0
-                    break
-                use.append((copy, int(b)))
-                left -= n
             if left <= 0:
                 break
+            whole, over = sum(by[s].values()) <= left, []
+            for b in map(int, rng.permutation(sorted(by[s]))):
+                n = by[s][b]
+                if whole or left > 0 and n <= left:
+                    use.append((copy, b, 0, _MOST, float("inf")))
+                    left -= n
+                else:
+                    over.append(b)
+            if over and left > 0:
+                open_[s] = copy, left, over
+                break
         chosen[s] = use
+    for s, ends in _last_blocks(rows, open_, by).items():
+        chosen[s] += ends
     dealt = splitting_tree({s: len(u) for s, u in chosen.items()}, shards, seed)
     where = []
     for s, use in chosen.items():
         order = np.random.default_rng([seed + 1, *s.encode()]).permutation(len(use))
         shard = np.repeat(np.arange(shards), dealt[s])
-        where += [(s, use[int(i)][0], use[int(i)][1], int(k)) for i, k in zip(order, shard)]
-    places = spark.createDataFrame(where, "source string, copy int, block int, shard int")
-    return rows.join(places, ["source", "block"]).select(id_col, "source", "copy", "block", "shard", F.xxhash64(id_col, "copy", F.lit(seed)).alias("position"), "tokens")
+        where += [(s, *use[int(i)], int(k)) for i, k in zip(order, shard)]
+    places = spark.createDataFrame(where, "source string, copy int, block int, low bigint, high bigint, bar double, shard int")
+    at = rows.join(places, ["source", "block"])
+    parts = _documents(at.where(F.col("bar") < float("inf")), id_col, seed)
+    return at.where(F.col("bar") == float("inf")).where("tokens between low and high").unionByName(parts).select(id_col, "source", "copy", "block", "shard", F.xxhash64(id_col, "copy", F.lit(seed)).alias("position"), "tokens")
+
+
+def _last_blocks(rows: DataFrame, open_: dict[str, tuple[int, float, list[int]]], by: dict[str, dict[int, int]]) -> dict[str, list[tuple[int, int, int, int, float]]]:
+    """What fills the quotas that whole blocks leave open.  open_: copy, tokens left, and the blocks that don't fit, in
+    their order.  Of these the documents that fit are taken, block after block, up to the one that reaches the quota.
+    If they don't reach it the smallest of the larger documents is taken, if the quota is nearer with it."""
+    spark = rows.sparkSession
+    if not open_:
+        return {}
+    asked = spark.createDataFrame([(s, b, float(left)) for s, (_, left, over) in open_.items() for b in over], "source string, block int, left double")
+    fits = F.col("tokens") <= F.col("left")
+    sums = rows.join(asked, ["source", "block"]).groupBy("source", "block").agg(F.sum(F.when(fits, F.col("tokens"))).alias("small"), F.min(F.when(~fits, F.col("tokens"))).alias("larger")).collect()
+    of = {(r["source"], r["block"]): (r["small"] or 0, r["larger"]) for r in sums}
+    out: dict[str, list[tuple[int, int, int, int, float]]] = {}
+    for s, (copy, left, over) in open_.items():
+        ends, high = [], int(left)
+        for b in over:
+            small = of[s, b][0]
+            if small > left:
+                ends.append((copy, b, 0, high, float(left)))
+                left = 0.0
+                break
+            if small:
+                ends.append((copy, b, 0, high, float("inf")))
+                left -= small
+        larger = min(((of[s, b][1], b) for b in over if of[s, b][1] is not None), default=None)
+        if left > 0 and larger and larger[0] < 2 * left:
+            n, b = larger
+            ends.append((copy, b, n, n, float(n)))
+        out[s] = ends
+    return out
+
+
+def _documents(at: DataFrame, id_col: str, seed: int) -> DataFrame:
+    """The documents of at, of low to high tokens, that in a seeded order come nearest to bar: at most one block of a
+    source for each window."""
+    order = Window.partitionBy("source", "block", "low").orderBy(F.xxhash64(id_col, F.lit(seed + 2)), id_col).rowsBetween(Window.unboundedPreceding, 0)
+    sized = at.where("tokens between low and high").withColumn("_sum", F.sum("tokens").over(order))
+    # The one that passes the bar counts if it ends nearer to it than it begins.
+    return sized.where((F.col("_sum") <= F.col("bar")) | (F.col("_sum") - F.col("tokens") < F.col("bar")) & (2 * F.col("_sum") - F.col("tokens") < 2 * F.col("bar"))).drop("_sum")

@@ -239,6 +239,21 @@ def test_mixing(spark):
     assert [sum(v) for v in dealt.values()] == [37, 91] and max(map(sum, zip(*dealt.values()))) - min(map(sum, zip(*dealt.values()))) <= 1
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_quota_is_met_to_one_document(spark, seed):
+    """Blocks as skewed as documents: one text holds 80 % of a source, or each quota is under half a block."""
+    docs = [(k, "a", 10) for k in range(200)] + [(500, "a", 8000)] + [(1000 + k, "b", 7) for k in range(900)] + [(3000, "c", 100)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, n int").select("doc_id", "source", F.expr("repeat('w ', n)").alias("text"))
+    for blocks, share in ((16, 0.2), (1, 0.1), (16, 0.02)):
+        t = spark.createDataFrame([("a", share, 1), ("b", share, 2), ("c", 0.9, 3)], "source string, target_share double, max_repeats int")
+        plan = {r.source: r for r in mixing.source_plan(df, t).collect()}
+        got = mixing.mix(df, t, shards=4, blocks=blocks, seed=seed).toPandas()
+        assert not got.duplicated(["source", "doc_id", "copy"]).any()
+        used = got.groupby("source").tokens.sum()
+        assert abs(used["a"] - plan["a"].planned) <= 10 and abs(used["b"] - plan["b"].planned) <= 7 and used["c"] == 300
+        assert (got.groupby(["source", "doc_id"]).size() <= got.source.map({"a": 1, "b": 2, "c": 3}).groupby([got.source, got.doc_id]).first()).all()
+
+
 # 8
 
 
