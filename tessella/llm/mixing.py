@@ -36,8 +36,8 @@ def _sized(df: DataFrame, targets: DataFrame, source_col: str, text_col: str, *k
 
 
 def source_plan(df: DataFrame, targets: DataFrame, size: float = 0.6, source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row per target source: tokens, documents, wanted tokens, repeats (how often the source is used, at most
-    max_repeats), planned tokens, actual_share of what the sources give together, and short.
+    """One row per target source: tokens, documents, wanted tokens, planned tokens (at most max_repeats times the
+    source's), repeats and actual_share as planned, and short.  Nothing is drawn here; source_use tells what was.
 
     The mix is to hold `size` times the tokens of all documents with a target source.  A source without documents has
     0 tokens and is short unless its target is 0; null or negative targets count as 0, null max_repeats as 1."""
@@ -161,3 +161,13 @@ def _documents(at: DataFrame, id_col: str, seed: int) -> DataFrame:
     sized = at.where("tokens between low and high").withColumn("_sum", F.sum("tokens").over(order))
     # The one that passes the bar counts if it ends nearer to it than it begins.
     return sized.where((F.col("_sum") <= F.col("bar")) | (F.col("_sum") - F.col("tokens") < F.col("bar")) & (2 * F.col("_sum") - F.col("tokens") < 2 * F.col("bar"))).drop("_sum")
+
+
+def source_use(df: DataFrame, targets: DataFrame, size: float = 0.6, shards: int = 32, blocks: int = 256, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """One row per target source, of the rows that mix deals: used_documents and used_tokens (each use counts), repeats
+    (used_tokens by the source's tokens) and actual_share (of all used tokens), beside what source_plan asks for."""
+    plan = source_plan(df, targets, size, source_col, text_col).select("source", "target_share", "max_repeats", "tokens", "documents", "planned")
+    used = mix(df, targets, size, shards, blocks, seed, id_col, source_col, text_col).groupBy("source").agg(F.count(F.lit(1)).alias("used_documents"), F.sum("tokens").alias("used_tokens"))
+    t = plan.join(used, "source", "left").na.fill(0, ["used_documents", "used_tokens"])
+    t = t.withColumn("_all", F.sum("used_tokens").over(Window.partitionBy()))  # the targets, one row a source: few
+    return t.withColumns({"repeats": F.when(F.col("tokens") > 0, F.col("used_tokens") / F.col("tokens")).otherwise(0.0), "actual_share": F.when(F.col("_all") > 0, F.col("used_tokens") / F.col("_all")).otherwise(0.0)}).drop("_all")

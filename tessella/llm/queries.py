@@ -72,6 +72,10 @@ def p7_plan(spark: SparkSession, d: str) -> DataFrame:
     return mixing.source_plan(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p7_used(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.source_use(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 

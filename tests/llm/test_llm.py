@@ -254,6 +254,21 @@ def test_quota_is_met_to_one_document(spark, seed):
         assert (got.groupby(["source", "doc_id"]).size() <= got.source.map({"a": 1, "b": 2, "c": 3}).groupby([got.source, got.doc_id]).first()).all()
 
 
+def test_source_use_is_what_the_mixture_holds(spark):
+    docs = [(k, "a", 10) for k in range(50)] + [(100, "b", 70), (101, "b", 20), (102, "c", 5)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, n int").select("doc_id", "source", F.expr("repeat('w ', n)").alias("text"))
+    t = spark.createDataFrame([("a", 0.7, 1), ("b", 0.2, 1), ("c", 0.1, 2), ("d", 0.0, 1)], "source string, target_share double, max_repeats int")
+    rows = mixing.mix(df, t).toPandas().groupby("source").tokens.sum()
+    use = {r.source: r for r in mixing.source_use(df, t).collect()}
+    for s in "abcd":
+        assert use[s].used_tokens == rows.get(s, 0)
+        assert use[s].actual_share == pytest.approx(rows.get(s, 0) / rows.sum())
+    assert use["a"].repeats == rows["a"] / 500 and use["c"].repeats == 2.0 and use["d"].used_documents == 0
+    # No documents of b give what was planned: the use is what was dealt, not the plan.
+    assert use["b"].planned == pytest.approx(71.4) and use["b"].used_tokens in (70, 90) and use["b"].repeats == use["b"].used_tokens / 90
+    assert mixing.source_use(df.limit(0), t).count() == 4
+
+
 # 8
 
 
