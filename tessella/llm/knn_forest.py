@@ -130,6 +130,20 @@ def _prefixes(hashed: DataFrame, trees: int, leaf: int) -> list[tuple[str, int,
     return ranges
 
 
+def _crowded(v: np.ndarray, q: np.ndarray, near: np.ndarray, keep: int, take: int) -> tuple[np.ndarray, np.ndarray]:
+    """For queries with more candidates than float32 can tell apart: the keep entries of highest cosine, ties to the
+    smaller id, and their cosines; filled up to take.  near: the candidates, by id."""
+    cos = np.round(v[q] @ v[near].T, 10)
+    cos[near[None, :] == q[:, None]] = 1.0
+    last = np.partition(cos, len(near) - keep, axis=1)[:, len(near) - keep]
+    top, exact = np.zeros((len(q), take), np.int64), np.full((len(q), take), -2.0)
+    for r in range(len(q)):
+        above, equal = np.flatnonzero(cos[r] > last[r]), np.flatnonzero(cos[r] == last[r])
+        best = np.concatenate((above, equal[: keep - len(above)]))
+        top[r, :keep], exact[r, :keep] = near[best], cos[r, best]
+    return top, exact
+
+
 def _neighbours(k: int):
     keep = k + 1
 
@@ -144,6 +158,9 @@ def _neighbours(k: int):
         lone = all(len(x) == 1 for x in ids)
         first = np.array([x[0] for x in ids], dtype=np.int64)
         take = min(len(v), keep + 8)
+        by_id = np.argsort(first)
+        # A float32 product of unit vectors is off by less than half of this (rounded elements, products and sums).
+        margin = np.float32(2 * (v.shape[1] + 3) * 2.0**-24 + 1e-9)
         out = []
         for lo in range(0, len(query), 512):
             q = query[lo : lo + 512]
@@ -152,6 +169,11 @@ def _neighbours(k: int):
             top = np.argpartition(-s, take - 1, axis=1)[:, :take] if take < len(v) else np.tile(np.arange(len(v)), (len(q), 1))
             exact = np.round(np.einsum("qd,qcd->qc", v[q], v[top]), 10)
             exact[top == q[:, None]] = 1.0
+            if take < len(v):
+                bar = np.partition(np.take_along_axis(s, top, 1), take - keep, axis=1)[:, take - keep] - margin
+                crowded = np.flatnonzero((s >= bar[:, None]).sum(1) > take)
+                if len(crowded):
+                    top[crowded], exact[crowded] = _crowded(v, q[crowded], by_id[(s[crowded] >= bar[crowded, None]).any(0)[by_id]], keep, take)
             if lone:
                 order = np.lexsort((first[top], -exact), axis=1)[:, :keep]
                 found = np.take_along_axis(first[top], order, 1)

@@ -94,6 +94,23 @@ def test_neighbours_against_brute_force(spark):
     assert hit / (900 * 8) > 0.9
 
 
+@pytest.mark.parametrize("copies", [1, 2])
+def test_neighbours_among_scaled_copies(spark, copies):
+    """More vectors of one direction, each of its own norm, than float32 tells apart: ties go to the smallest ids."""
+    rng = np.random.default_rng(3)
+    one = rng.standard_normal(48)
+    v = np.concatenate([rng.uniform(0.1, 9, (300, 1)) * one, rng.standard_normal((100, 48))]).astype(np.float32)
+    v = np.repeat(v, copies, 0)[rng.permutation(400 * copies)]
+    df = spark.createDataFrame([(k, "m", x.tolist()) for k, x in enumerate(v)], "id long, model string, vector array<float>")
+    got = knn_forest.all_knn(df).toPandas().groupby("id").neighbour_id.apply(list)
+    x = v.astype(np.float64)
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    s = np.round(x @ x.T, 10)
+    for k in range(len(v)):
+        others = np.delete(np.arange(len(v)), k)
+        assert got[k] == list(others[np.lexsort((others, -s[k, others]))[:8]])
+
+
 def test_valid_vectors(spark):
     t = "2024-01-0{} 00:00:00".format
     rows = [(1, " M ", [1.0, 0.0], t(1)), (1, "m", [0.0, 1.0], t(2)), (1, "m", [0.0, 1.0], t(2)), (2, "m", [1.0], t(1)), (3, "m", [0.0, 0.0], t(1)), (4, "m", [1.0, float("nan")], t(1)), (5, "m", [1.0, None], t(1)), (6, "m", None, t(1)), (7, None, [1.0, 2.0], t(1)), (8, "M", [1.0, float("inf")], t(1)), (9, "m", [3.0, 4.0], None), (10, "m", [1.0, 1.0], t(1)), (10, "m", None, t(3))]
