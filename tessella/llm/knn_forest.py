@@ -2,9 +2,9 @@
 
 Each of several trees gives every vector a long hash string: the signs of 60 random projections of the vector, less
 the mean of its model.  Sorted by hash, the vectors that share a prefix are one run of the tree's array.  A vector
-descends along its string to the longest prefix whose run still holds enough vectors; where runs are too thin all
-trees ascend together, by the same rule, to shorter prefixes.  So the prefixes have variable lengths, longer where
-vectors are dense.  All vectors of a run are compared with each other as one matrix product, the best of all trees are
+descends along its string to the longest prefix at which every division has left both halves enough vectors.  So the
+prefixes have variable lengths, longer where vectors are dense.  There is no ascent: the minimum size of a run stands
+in for it, and a vector gets no candidates from neighbouring prefixes.  All vectors of a run are compared with each other as one matrix product, the best of all trees are
 merged, and the cosines that decide are computed in double precision.
 """
 
