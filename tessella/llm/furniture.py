@@ -216,7 +216,7 @@ def furniture(lines: list[Line], title: str | None, url: str | None, site_items:
     for k in range(n):
         if SIDEBAR.match(low[k]):
             bad[k] = True
-            for j in range(k + 1, min(n, k + 9)):
+            for j in range(k + 1, n):
                 t = shown[j].text
                 body = _MARK.sub("", t)
                 marked = body != t
@@ -291,7 +291,7 @@ def mark_furniture(df: DataFrame, id_col: str = "request_id", text_col: str = "c
     rows = cut(rows.withColumns({"site": F.coalesce(site_key(link), F.lit("")), "page": F.xxhash64(F.coalesce(page_key(link), F.col("id").cast("string")))}), "p1-pages")
     votes = rows.select("site", "page", "content").mapInArrow(_votes, "site string, page bigint, kind string, name string").where("kind = 'h' or site <> ''").distinct()
     counted = votes.groupBy("site", "kind", "name").agg(F.count(F.lit(1)).alias("n"))
-    pages = rows.groupBy("site").agg(F.approx_count_distinct("page").alias("pages"))
+    pages = rows.groupBy("site").agg(F.count_distinct("page").alias("pages"))
     total = rows.select("page").distinct().count()
     counted = cut(counted.where(F.col("n") >= MIN_PAGES), "p1-counts")
     common = counted.where((F.col("kind") == "h") & (F.col("n") >= max(HEADING_PAGES, HEADING_SHARE * total)))

@@ -55,6 +55,13 @@ def test_furniture(spark):
     assert furniture.furniture_lines(df.limit(0)).count() == 0
 
 
+def test_long_sidebar():
+    names = "Harbour Walls,Winter Ferries,Old Mills,Quiet Valleys,Stone Bridges,Northern Lamps,Salt Roads,Market Days,Paper Kites,Copper Roofs,Glass Towers,Moss Gardens,River Songs".split(",")
+    page = ["Lakes of the north", "The lake is deep.", "You might also like", *names, "The shore is long and flat."]
+    got = furniture.furniture(render.source_lines("\n".join(page)), "Lakes of the north", None, frozenset(), frozenset(), frozenset(), False)
+    assert got == set(range(3, 4 + len(names)))
+
+
 # 2
 
 
