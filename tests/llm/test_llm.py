@@ -78,6 +78,14 @@ def test_repeated_lines(spark):
     assert repeated_lines.repeated_lines(df.limit(0)).count() == 0
 
 
+def test_long_sequences(spark):
+    footer = "\n".join(f"footer {'abcdefg'[k]}" for k in range(7))
+    df = spark.createDataFrame([(k, f"https://s.example/p{k}", f"own {'abcdef'[k]}\n{footer}") for k in range(6)], "point_id long, base_url string, text string").withColumn("url", F.lit(None).cast("string"))
+    got = repeated_lines.prefixspan(df)[0].toPandas()
+    assert sorted(got.length) == sorted(n for n in range(1, 8) for _ in range(8 - n))
+    assert list(got[got.length == 7].first_line) == [2]
+
+
 # 3
 
 
