@@ -158,8 +158,9 @@ LATEST = "SELECT * FROM points QUALIFY row_number() OVER (PARTITION BY point_id
 @query("d1_upsert", f"WITH old AS (SELECT point_id, embedding_model, updated_at FROM points WHERE point_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY updated_at NULLS FIRST) = 1), new AS (SELECT point_id, embedding_model, updated_at FROM ({LATEST})) SELECT point_id, updated_at FROM old WHERE point_id NOT IN (SELECT point_id FROM new) UNION ALL SELECT point_id, updated_at FROM new")
 def _(spark, d):
     p = table(spark, d, "points").select("point_id", "updated_at")
-    old = p.where("point_id % 2 = 0").groupBy("point_id").agg(F.min("updated_at").alias("updated_at"))
-    return index.upsert(old, p, "point_id", "updated_at")
+    later = F.coalesce(F.col("updated_at") >= F.lit("2025-01-15").cast("timestamp"), F.lit(False))
+    old = p.where(~later).groupBy("point_id").agg(F.max("updated_at").alias("updated_at"))
+    return index.upsert(old, p.where(later), "point_id", "updated_at")
 
 
 @query("d2_point_ids", C + """, a AS (SELECT point_id, url, chunk_index, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(url)) AS h FROM c WHERE url IS NOT NULL AND chunk_index IS NOT NULL),

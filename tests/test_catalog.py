@@ -37,3 +37,11 @@ def test_query(spark, duck, name):
     got = catalog.QUERIES[name](spark, DATA).toPandas()
     if name in catalog.SQL:
         assert rows(got) == rows(duck.execute(catalog.SQL[name]).df())
+
+
+def test_upsert_has_keys_on_both_sides(spark, monkeypatch):
+    sides, upsert = [], catalog.index.upsert
+    monkeypatch.setattr(catalog.index, "upsert", lambda old, new, *a: sides.append((old, new)) or upsert(old, new, *a))
+    rows = catalog.QUERIES["d1_upsert"](spark, DATA).count()
+    old, new = ({r.point_id for r in x.collect()} for x in sides[0])
+    assert old - new and old & new and new - old and rows == len(old | new)
