@@ -4,19 +4,22 @@ A cumulative-link (proportional odds) regression predicts the grade of each pass
 weight for each feature, shared by the ordered thresholds.  Grades: 0 fine, 1 sexually explicit, 2 insult or threat to
 a person, 3 demeaning or harm to a group.  The score is the expected grade; a document has that of its worst passage.
 
-Labels are given for documents, so training chooses, round by round, the passage of each bad document that the model
-finds worst; documents whose label the model contradicts strongly are left out of the next round (some labels are
-wrong).  A few graded example passages of our own stand beside the labels, so that small label sets work.
+Everything is learned from the labels; there are no word lists.  Features are words (spelling undone as far as rules
+can: look-alike signs, repeated and spelled-out letters, letters hidden by stars), pairs of neighbouring words, and the
+ways of disguise themselves.  Labels are given for documents and some are wrong, so training finds out, round by round,
+which passages of the bad documents are meant: at first those whose words are far more frequent in bad documents than
+in others, then those that the model finds bad.  Unlabelled documents, of which most must be fine, take part: as fine
+text, as long as the model doesn't find them bad, and as further bad passages where it is sure.  The probability from which a document counts as
+bad is chosen on labelled documents that the model scored without having seen them.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -27,317 +30,322 @@ from tessella.llm.common import cut
 
 #: The grade of each label.
 GRADES = {"ok": 0, "sexual": 1, "abuse": 2, "hate": 3}
-#: At most so many labelled documents of either kind (bad, ok) are used for training, those of the smallest hashes.
-MAX_LABELLED = 1500
-
-_HIDDEN = re.compile("[­​-‏⁠-⁤﻿]+")
-_MARKS = re.compile("[̀-ͯ]+")
-_TOKEN = re.compile(r"[a-z0-9@$!*]+|[^\W\d_]+")
+#: At most so many labelled bad documents, and so many fine ones (unlabelled ones where labels lack), are used for
+#: training: those of the smallest hashes.
+MAX_BAD, MAX_FINE = 2500, 6000
+#: Labelled documents are dealt into so many folds to choose the threshold; a passage counts as meant from SURE on.
+FOLDS, SURE = 5, 0.9
+#: No feature weighs more than this: a passage is bad by several words together, so that a name which happens to stand
+#: beside bad words makes none.
+MOST = 1.0
+
+_HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]+")
+_MARKS = re.compile("[\u0300-\u036f]+")
+# A word with look-alike signs and stars, a word of letters, or what ends a passage: a line break or a sentence's end.
+_PIECE = re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[\r\n]+|(?:[a-z0-9@$*]|!(?=[a-z0-9@$*]))+|[^\W\d_]+")
 _ODD = re.compile(r"[0-9@$!]")
-_TWICE = re.compile(r"(.)\1+")
-_PASSAGE = re.compile(r"[\r\n]+|[.!?…][\"'”’»)\]]*\s+")
+_TWICE = re.compile(r"([^*])\1+")
 _LEET = str.maketrans("013457@$!", "oieastasi")
-
-# Word lists by kind, in English, German, French and Spanish, without accents.
-WORDS = {
-    "insult": """idiot idiots moron morons imbecile cretin stupid dumb dimwit fool loser losers pathetic worthless useless scum
-        bastard bitch asshole jerk coward liar filthy disgusting rotten wretched imbecil idiota estupido estupida basura asqueroso
-        inutil payaso cobarde idiote cretin connard ordure debile abruti minable imbecile salaud pauvre gueule depotoir trottel
-        vollidiot versager dumm dummkopf arschloch elender dreckiger abschaum widerlich mistkerl klappe""",
-    "threat": """kill die dead break bones punch beat stab shoot burn hang slit choke drown vanish breathe throat skull hurt crush
-        matar morir mataremos rompere golpes tuer mourir crever casser frapper umbringen sterben verrecken toten schlagen zusammenschlagen""",
-    "dehumanise": """vermin cockroaches cockroach rats parasites parasite subhuman animals savages plague disease diseased trash filth
-        infest breed breeds exterminate exterminated wiped eradicate inferior ungeziefer parasiten ratten untermenschen vertrieben
-        ausgerottet gehoren vermine cafards parasites nuisibles chasser exterminer plaga ratas cucarachas parasitos alimanas echarla
-        exterminar expulsar""",
-    "group": """people women men families family believers faith immigrants foreigners everyone children folk quarter race religion
-        leute frauen auslander gens femmes etrangers gente mujeres extranjeros born""",
-    "harm": """driven deserve deserves banned expelled chains belong hire expel gassed beaten deported burn echar golpes chasser vertrieben""",
-    "sex": """sex nude nudes naked horny porn porno xxx explicit uncensored erotic fuck fucking cock dick pussy tits boobs blowjob
-        orgasm cum cumming thighs strip stripped undress undressed moaned moaning licked panties lust sweaty escort singles nackt
-        geil ficken nackte sexy nue nues baiser seins coquine desnuda desnudas follar caliente tetas cachonda""",
-    "offer": "free clips pics video watch send cam call tonight hot click meet show chat live subscribe gratis gratuit kostenlos",
-    "second": "you your yours youre u ur du dich dir ihr euch dein tu te toi vous ton ta eres te ti tus usted cállate callate ferme halt",
-    "distance": """report reports reported policy rule rules forbid forbids forbidden banned moderators moderator removes removed quoted
-        quote word term terms called study survey species colony treatment patient clinic medical veterinary biology botanist zoologists
-        zoology insect process thread daemon job child parent master slave myself novel film play scene character tale story statue
-        museum painting history training workshop prevention guideline guidelines filter flagged example examples says meldung regel
-        regeln verboten rapport regle interdit politica norma prohibido informe""",
-    "self": "i me my myself ich mir mich je moi mon yo mi me",
-}
-
-KIND_MARKS = {"#insult", "#threat", "#dehumanise", "#sex"}
-
-# Graded example passages of our own.
-EXAMPLES = [
-    (2, "You are a worthless idiot and nobody wants you here."), (2, "Shut up, you stupid piece of trash."), (2, "I will find you and break your legs."),
-    (2, "What a pathetic moron you are, go away and never come back."), (2, "Do us all a favour and die, loser."), (2, "I hope you fall down and break your neck."),
-    (2, "If I see you again I will beat you until you bleed."), (2, "Only a cretin like you could write such rubbish."), (2, "Someone should punch you in the face, you disgusting liar."),
-    (2, "Get lost, you filthy bastard."), (2, "We know where you live and we will hurt you."), (2, "You dumb imbecile, everyone laughs at you."),
-    (2, "Du bist ein dummer Idiot und ein Versager."), (2, "Halt den Mund, du Trottel."), (2, "Verschwinde, du widerlicher Mistkerl, sonst schlage ich dich."),
-    (2, "Tu es un idiot et un minable."), (2, "Ferme-la, connard, personne ne t'aime."), (2, "Va mourir, espèce d'abruti."),
-    (2, "Eres un idiota y un inútil."), (2, "Cállate, imbécil, nadie te quiere."), (2, "Te voy a romper la cara, basura."),
-    (3, "Those people are vermin and must be exterminated."), (3, "All foreigners are parasites, throw them out of the country."), (3, "Women are too stupid to vote and belong in the kitchen."),
-    (3, "These immigrants are rats who infest our streets."), (3, "Their religion is a disease and its believers should be wiped out."), (3, "Burn their houses, they deserve it, those savages."),
-    (3, "Never trust anyone of that race, they are animals."), (3, "Such families breed like cockroaches and should be driven away."), (3, "That tribe is subhuman filth."),
-    (3, "Diese Leute sind Ungeziefer und müssen weg."), (3, "Ausländer sind Parasiten, man sollte sie vertreiben."), (3, "Ces gens sont des rats, il faut les chasser."),
-    (3, "Les étrangers sont de la vermine."), (3, "Esa gente es una plaga y hay que expulsarla."), (3, "Los extranjeros son ratas y merecen golpes."),
-    (1, "Hot naked girls want to meet you tonight, click for free videos."), (1, "Send me nudes and I will show you mine."), (1, "They had hard, wet sex on the floor all night."),
-    (1, "He licked her naked body until she moaned."), (1, "Watch uncensored porn clips for free."), (1, "Horny singles in your town, explicit pics inside."),
-    (1, "She begged him to fuck her again."), (1, "Call now for a sexy strip show, adults only."), (1, "He undressed her and pushed himself inside her."),
-    (1, "Geile nackte Frauen warten auf dich, ruf jetzt an."), (1, "Vidéos de filles nues et coquines, gratuit ce soir."), (1, "Mujeres desnudas y calientes te esperan esta noche."),
-    (0, "Kill the idle process and its children before the next run."), (0, "The naked eye can see the summit on a clear day."), (0, "Rats and cockroaches were found in the old store, said the pest report."),
-    (0, "The clinic offers advice on sexual health and contraception."), (0, "Breast cancer screening is free for women over fifty."), (0, "The sex of the chick is told by its feathers."),
-    (0, "Posts that call people vermin are removed under our rules."), (0, "The report counts insults such as idiot and moron in the forum."), (0, "I was such an idiot, I left my own tent at home."),
-    (0, "Stupid me, I forgot the keys again."), (0, "The master node sends work to the slave and then dies."), (0, "The parasite lives in the gut of sheep and breeds in spring."),
-    (0, "My legs are dead after that killer climb."), (0, "In the play the villain threatens the king and is hanged."), (0, "The policy forbids threats, hate and explicit pictures."),
-    (0, "The wind will kill the fire if you leave it."), (0, "This stubborn lock is a bastard file's work, says the smith."), (0, "Our dumb terminal shows a blank screen."),
-    (0, "The bitch gave birth to four healthy puppies at the kennel."), (0, "Cocks and hens roam the yard of the farm."), (0, "Abuse of the interface is limited by a rate filter."),
-    (0, "A plague of locusts destroyed the harvest in that year."), (0, "The survey asks how often people are called names at work."), (0, "Strip the paint and burn the old wood."),
-    (0, "Die Ratten im Keller wurden vom Kammerjäger vertrieben."), (0, "Regeln verbieten Beleidigungen wie Idiot."), (0, "La vermine attaque le bois des charpentes."),
-    (0, "La peste fue una plaga del siglo catorce."), (0, "Qué tonto fui, olvidé mi mapa."), (0, "Ich Trottel habe meine Karte vergessen."), (0, "Quel idiot je suis, j'ai oublié ma carte."),
-]
-
-
-def _canon(word: str) -> str:
-    """Letters that disguise are put back, doubled letters made one; empty for numbers and signs."""
-    word = word.rstrip("!*")
-    if _ODD.search(word):
-        if not any("a" <= c <= "z" for c in word):
-            return ""
-        word = word.translate(_LEET)
-    return _TWICE.sub(r"\1", word)
-
-
-_KINDS: dict[str, list[str]] = {}
-for _kind, _list in WORDS.items():
-    for _w in _list.split():
-        _KINDS.setdefault(_canon(_MARKS.sub("", unicodedata.normalize("NFD", _w))), []).append(_kind)
+_MIX = np.uint64(0x9E3779B97F4A7C15)  # 2**64 divided by the golden ratio
 
 
-def passages(text: str) -> list[str]:
-    """Lines and sentences of a text, in lower case, without accents, hidden characters and entities."""
+def plain(text: str) -> str:
+    """Lower case, without accents, hidden characters and entities."""
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
         text = _MARKS.sub("", unicodedata.normalize("NFD", unicodedata.normalize("NFKC", _HIDDEN.sub("", text))))
-    return [p for p in _PASSAGE.split(text.lower()) if len(p) > 3]
-
-
-def tokens(passage: str) -> list[str]:
-    """Words; three or more single letters in a row are one word written letter by letter."""
-    found = _TOKEN.findall(passage)
-    if sum(len(w) == 1 for w in found) < 3:
-        return found
-    out, run = [], ""
-    for w in [*found, "  "]:
-        if len(w) == 1 and not w.isdigit():
-            run += w
-            continue
-        out += [run] if len(run) > 2 else list(run)
-        run = ""
-        out.append(w)
-    return out[:-1]
-
-
-_cache: dict[str, tuple[str, tuple[str, ...]]] = {}
-
-
-def _word(w: str) -> tuple[str, tuple[str, ...]]:
-    got = _cache.get(w)
-    if got is None:
-        if len(_cache) > 300_000:
-            _cache.clear()
-        c = _canon(w)
-        kinds = _KINDS.get(c, ())
-        if "*" in c and not kinds:  # a star stands for one letter
-            pattern = re.compile(re.escape(c).replace(r"\*", "[a-z]?") + "$")
-            hit = next((k for k in sorted(_KINDS) if pattern.match(k)), None)
-            if hit:
-                c, kinds = hit, _KINDS[hit]
-        got = _cache[w] = (c, tuple(kinds))
-    return got
-
-
-def features(passage: str) -> set[str]:
-    """Words, pairs of neighbouring words, kinds of words, and pairs of kinds that stand in the passage together."""
-    out, kinds, last = set(), set(), "^"
-    for w in tokens(passage):
-        c, k = _word(w)
-        if c:
-            out.add(c)
-            out.add(f"{last} {c}")
-            last = c
-            kinds.update(k)
-    out.update(_kind_features(kinds))
-    return out
-
-
-def _kind_features(kinds: set[str]) -> list[str]:
-    ks = sorted(kinds)
-    return [*(f"#{k}" for k in ks), *(f"#{x}+{y}" for i, x in enumerate(ks) for y in ks[i + 1 :])]
+    return text.lower()
 
 
-class Model:
-    """weights by feature; P(grade >= k) = 1 / (1 + exp(cuts[k - 1] - sum of weights)).
-
-    Sums below `floor`, where the probability of any grade above 0 is under 5 %, count as floor."""
-
-    def __init__(self, weights: dict[str, float], cuts: list[float]):
-        self.weights, self.cuts, self.floor = weights, cuts, cuts[0] - 3
-        self.pairs: dict[str, dict[str, float]] = {}
-        for f, w in weights.items():
-            if " " in f:
-                first, _, c = f.rpartition(" ")
-                self.pairs.setdefault(c, {})[first] = w
-        self._known: dict[str, tuple] = {}
-
-    def _look(self, w: str) -> tuple:
-        if len(self._known) > 300_000:
-            self._known.clear()
-        c, kinds = _word(w)
-        got = self._known[w] = (c, self.weights.get(c, 0.0), self.pairs.get(c), kinds, len(w) == 1)
-        return got
-
-    def margin(self, passage: str) -> float:
-        """What sum(features(passage)) gives, without building the features."""
-        total, kinds, singles, last, known, seen = 0.0, (), 0, "^", self._known, set()
-        for w in _TOKEN.findall(passage):
-            c, weight, pairs, k, one = known.get(w) or self._look(w)
-            singles += one
-            if not c:
+def canonical(word: str) -> tuple[str, str]:
+    """(the word with look-alike signs undone and doubled letters made one, how it was disguised: leet, star or
+    nothing).  Empty for numbers and signs."""
+    word, how = word.strip("!*"), ""
+    if _ODD.search(word):
+        if not any("a" <= c <= "z" for c in word):
+            return "", ""
+        word, how = word.translate(_LEET), "leet"
+    if "*" in word:
+        how = "star"
+    return _TWICE.sub(r"\1", word), how
+
+
+def _key(name: str) -> int:
+    return int.from_bytes(blake2b(name.encode(), digest_size=8).digest(), "little") | 1
+
+
+class Reader:
+    """Turns texts into feature keys.  words: canonical words that stars may stand for parts of, the likeliest first."""
+
+    def __init__(self, words: Sequence[str] = ()):
+        self.words = list(words)
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.keys, self.marks = [0], [0]  # number 0: the end of a passage
+        self.letters: dict[int, str] = {}
+
+    def _new(self, word: str, how: str) -> int:
+        self.keys.append(_key(word) if word else 0)
+        self.marks.append(_key("#" + how) if how else 0)
+        return len(self.keys) - 1
+
+    def _add(self, piece: str) -> int:
+        k = 0
+        if not piece[-1].isspace():
+            word, how = canonical(piece)
+            if how == "star":
+                pattern = re.compile(re.escape(word).replace(r"\*", "[a-z]?"))
+                word = next((w for w in self.words if pattern.fullmatch(w)), "")
+            k = self._new(word, how)
+            if len(piece) == 1 and piece.isalpha():
+                self.letters[k] = piece
+        self.number[piece] = k
+        return k
+
+    def pieces(self, text: str) -> list[int]:
+        get, out = self.number.get, []
+        for p in _PIECE.findall(plain(text)):
+            n = get(p)
+            out.append(self._add(p) if n is None else n)
+        return out
+
+    def _joined(self, numbers: np.ndarray) -> np.ndarray:
+        """Runs of three or more single letters are one word written letter by letter."""
+        out: list[int] = []
+        run: list[int] = []
+        for n in [*numbers.tolist(), -1]:
+            if n in self.letters:
+                run.append(n)
                 continue
-            if weight and c not in seen:
-                seen.add(c)
-                total += weight
-            if pairs and last in pairs and (last, c) not in seen:
-                seen.add((last, c))
-                total += pairs[last]
-            if k:
-                kinds = {*kinds, *k}
-            last = c
-        if singles > 2:  # perhaps words written letter by letter
-            return self.sum(features(passage))
-        if kinds:
-            total += sum(self.weights.get(f, 0.0) for f in _kind_features(kinds))
-        return max(self.floor, round(total, 6))
-
-    def sum(self, own: frozenset[str] | set[str]) -> float:
-        get = self.weights.get
-        return max(self.floor, round(math.fsum(get(f, 0.0) for f in own), 6))
-
-    def severity(self, margin: float) -> float:
-        return float(sum(1 / (1 + math.exp(c - margin)) for c in self.cuts))
-
-    def above(self, margin: float) -> float:
-        return 1 / (1 + math.exp(self.cuts[0] - margin))
-
-    def score(self, text: str | None) -> tuple[float, float]:
-        """(expected grade, P(grade >= 1)) of the worst passage; those of floor without passages."""
-        got = [self.margin(p) for p in passages(text)] if text else []
-        m = max(got, default=self.floor)
-        return self.severity(m), self.above(m)
-
-
-class _Fitter:
-    """Fits the weights of rows (features, grade, weight), whose features are among the given distinct sets."""
-
-    def __init__(self, sets: list[frozenset[str]]):
-        self.vocab = {f: i for i, f in enumerate(sorted(set().union(*sets)))}
-        flat = [(r, self.vocab[f]) for r, x in enumerate(sets) for f in x]
-        self.ri, self.ci = np.array(flat, dtype=np.int64).reshape(-1, 2).T.copy()
-        order = np.lexsort((self.ci, self.ri))
-        self.ri, self.ci, self.n = self.ri[order], self.ci[order], len(sets)
-
-    def margins(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.ri, w[self.ci], self.n)
-
-    def fit(self, at: np.ndarray, y: np.ndarray, sw: np.ndarray, steps: int = 120, l2: float = 0.15) -> tuple[np.ndarray, np.ndarray]:
-        """Weights and cuts by full-batch Adam on the likelihood of the grades y of the sets numbered at."""
-        grades = max(GRADES.values())
-        w, t = np.zeros(len(self.vocab)), np.array([3.0, *np.full(grades - 1, -0.5)])  # first cut, then logs of steps
-        m, v = [np.zeros_like(w), np.zeros_like(t)], [np.zeros_like(w), np.zeros_like(t)]
-        sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        for step in range(1, steps + 1):
-            cuts = np.cumsum(np.concatenate((t[:1], np.exp(t[1:]))))
-            s = self.margins(w)[at]
-            edge = np.concatenate(([-np.inf], cuts, [np.inf]))
-            up, lo = sig(edge[y + 1] - s), sig(edge[y] - s)
-            up[y == grades], lo[y == 0] = 1.0, 0.0
-            p = np.maximum(up - lo, 1e-9)
-            du, dl = up * (1 - up), lo * (1 - lo)
-            gs = np.bincount(at, sw * (du - dl) / p, self.n)
-            gw = np.bincount(self.ci, gs[self.ri], len(w)) + l2 * w
-            gc = np.array([-np.sum(sw[y == k] * (du / p)[y == k]) + np.sum(sw[y == k + 1] * (dl / p)[y == k + 1]) for k in range(grades)])
-            tail = np.cumsum(gc[::-1])[::-1]
-            gt = np.concatenate((tail[:1], tail[1:] * np.exp(t[1:])))
-            gt += np.concatenate((t[:1] - 3.0, t[1:] + 0.5))  # the cuts stay near where they begin
-            for k, (par, g) in enumerate(((w, gw), (t, gt))):
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.999 * v[k] + 0.001 * g * g
-                par -= 0.15 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-        return w, np.cumsum(np.concatenate((t[:1], np.exp(t[1:]))))
-
-
-def _telling(docs: list[tuple[list[set[str]], int]], own: list[tuple[frozenset[str], int, float]]) -> set[str]:
-    """The features worth a weight: those of the examples, those markedly more frequent in bad documents than in fine
-    ones, and those that stand beside such features often enough."""
-    bad, fine = Counter(), Counter()
-    n = [1, 1]
-    for ps, y in docs:
-        n[y <= 0] += 1
-        (bad if y > 0 else fine).update(set().union(*ps) if ps else ())
-    first = {f for x, _, _ in own for f in x}
-    first |= {f for f, k in bad.items() if k >= 3 and k / n[0] > 2.5 * (fine[f] + 1) / n[1]}
-    marks = {f for f in first if f[0] != "#" and bad[f] / n[0] > 2.5 * (fine[f] + 1) / n[1]} | KIND_MARKS
-    beside: Counter = Counter()
-    for ps, _ in docs:
-        for p in ps:
-            if not marks.isdisjoint(p):
-                beside.update(p)
-    # What is frequent everywhere tells nothing beside a mark either.
-    return first | {f for f, k in beside.items() if k >= 4 and k > 0.3 * (bad[f] + fine[f])}
-
-
-def train(labelled: list[tuple[str, int]], rounds: int = 3) -> Model:
-    """labelled: text and grade of documents, -1 of unlabelled ones that stand in for fine ones.  Of these a passage
-    counts as fine only where the model doesn't find it bad, at first where it has no word of the bad kinds."""
-    own = [(frozenset(features(" ".join(passages(e)))), y, 2.0) for y, e in EXAMPLES]
-    docs = [([features(p) for p in passages(t)], y) for t, y in labelled if t]
-    telling = _telling(docs, own)
-    # Passages with the same telling features are one set.
-    number: dict[frozenset[str], int] = {}
-    docs = [([number.setdefault(frozenset(p & telling), len(number)) for p in ps], y) for ps, y in docs if ps]
-    examples = [(number.setdefault(x, len(number)), y, w) for x, y, w in own]
-    sets = list(number)
-    fitter = _Fitter(sets)
-    fine, bad = (Counter(x for ps, y in docs if (y > 0) == k for x in set(ps)) for k in (False, True))
-    n_bad = 1 + sum(y > 0 for _, y in docs)
-    n_fine = 2 + len(docs) - n_bad
-    # What stands in bad documents far more often is no example of fine text, whatever the label of its document.
-    doubted = {x for x, k in bad.items() if k >= 2 and k / n_bad > 3 * fine[x] / n_fine}
-    plain = {x for x, k in fine.items() if k >= 5 and x not in doubted}
-    # A first guess at the bad passages of bad documents: those with several words that fine ones hardly have.
-    n_with = {k: Counter(f for ps, y in docs if (y > 0) == k for f in set().union(*(sets[x] for x in ps))) for k in (False, True)}
-    strong = {f for f, k in n_with[True].items() if " " not in f and k >= 3 and k / n_bad > 5 * (n_with[False][f] + 1) / n_fine}
-    hints = np.array([min(6, 2 * k) if (k := len(x & strong)) > 1 else 0 for x in sets], dtype=float)
-    w, cuts = np.zeros(0), np.zeros(0)
-    for r in range(rounds + 1):
-        rows, negative = list(examples), Counter()
-        s = fitter.margins(w) + (hints if r == 1 else 0.0) if r else None
-        for ps, y in docs:
-            top = max(ps, key=lambda x: -9.0 if x in plain else s[x]) if r else ps[0]
-            sure = 1 / (1 + math.exp(cuts[0] - s[top])) if r and top not in plain else 0.0
-            if y < 0:
-                negative.update(p for p in ps if p not in doubted and (s[p] < cuts[0] - 1 if r else sets[p].isdisjoint(KIND_MARKS)))
-            elif not y:
-                if sure < (0.97 if r == 1 else 0.9):
-                    negative.update(p for p in ps if p not in doubted)
-            elif sure > 0.3:
-                rows.append((top, y, 1.0))
-        rows += [(x, 0, float(min(n, 30))) for x, n in negative.items()]
-        w, cuts = fitter.fit(*(np.array(c) for c in zip(*rows)))
-    return Model({f: float(w[i]) for f, i in fitter.vocab.items() if abs(w[i]) > 0.03}, [float(c) for c in cuts])
+            if len(run) > 2:
+                word = "".join(self.letters[x] for x in run)
+                spelled = " " + word  # not a piece that findall gives
+                if spelled not in self.number:
+                    self.number[spelled] = self._new(canonical(word)[0], "spelled")
+                out.append(self.number[spelled])
+            else:
+                out += run
+            run = []
+            if n >= 0:
+                out.append(n)
+        return np.array(out, dtype=np.int64)
+
+    def read(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document of each passage, passage of each feature, key of each feature), features in the order of passages;
+        every text has at least one passage."""
+        if len(self.keys) > 500_000:
+            self.clear()
+        flat: list[int] = []
+        heads: list[int] = []
+        for t in texts:
+            heads.append(len(flat))
+            flat.append(0)
+            if t:
+                flat += self.pieces(t)
+        flat.append(0)
+        numbers = np.array(flat, dtype=np.int64)
+        first = np.zeros(len(flat), bool)
+        first[heads] = True
+        one = np.isin(numbers, list(self.letters))
+        spelled = np.flatnonzero(one[:-2] & one[1:-1] & one[2:])
+        if len(spelled):
+            parts = np.split(numbers[:-1], heads[1:])
+            for k in set((np.searchsorted(heads, spelled, "right") - 1).tolist()):
+                parts[k] = self._joined(parts[k])
+            heads = np.concatenate(([0], np.cumsum([len(x) for x in parts])[:-1])).astype(np.int64)
+            numbers = np.concatenate([*parts, [0]])
+            first = np.zeros(len(numbers), bool)
+            first[heads] = True
+        keys, marks = np.array(self.keys, dtype=np.uint64)[numbers], np.array(self.marks, dtype=np.uint64)[numbers]
+        # Passages begin at ends of the one before; numbers and signs drop out.
+        begin = numbers == 0
+        begin[-1] = False
+        passage = np.cumsum(begin) - 1
+        doc = (np.cumsum(first) - 1)[begin]
+        word = keys != 0
+        at, w = passage[word], keys[word]
+        before = np.concatenate(([np.uint64(0)], w[:-1]))
+        before[np.concatenate(([True], at[1:] != at[:-1]))] = np.uint64(1)  # the passage's first word
+        x = (before ^ (before >> np.uint64(29))) * _MIX + w
+        pairs = (x ^ (x >> np.uint64(31))) * _MIX & ~np.uint64(1)  # words have odd keys, pairs even ones
+        marked = marks != 0
+        where = np.concatenate((at, at, passage[marked]))
+        return doc, where, np.concatenate((w, pairs, marks[marked]))
+
+
+class Model:
+    """words: canonical words with weights above 0, heaviest first; keys (sorted) and weights of all features;
+    P(grade >= k) = 1 / (1 + exp(cuts[k - 1] - sum of the weights of a passage's features)); bar: the probability of
+    any grade above 0 from which a document counts as bad."""
+
+    def __init__(self, words: list[str], keys: np.ndarray, weights: np.ndarray, cuts: np.ndarray, bar: float = 0.5):
+        self.words, self.keys, self.weights, self.cuts, self.bar = words, keys, weights, cuts, bar
+        self.reader = Reader(words)
+        # A first sieve by the keys' middle bits, of which nearly all features of fine text fail.
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[self._slot(keys)] = True
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(20)) & np.uint64((1 << 20) - 1)
+
+    def margins(self, texts: Sequence[str | None]) -> np.ndarray:
+        """The highest sum of weights of any passage of each text; 0 without features."""
+        doc, where, keys = self.reader.read(texts)
+        if not len(self.keys):
+            return np.zeros(len(texts))
+        hit = np.flatnonzero(self.sieve[self._slot(keys)])
+        k = np.minimum(np.searchsorted(self.keys, keys[hit]), len(self.keys) - 1)
+        good = self.keys[k] == keys[hit]
+        pair = np.unique(where[hit[good]] * len(self.keys) + k[good])  # a feature counts once in a passage
+        total = np.bincount(pair // len(self.keys), self.weights[pair % len(self.keys)], len(doc))
+        return np.maximum.reduceat(total, np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))))
+
+    def score(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(expected grade, P(grade >= 1)) of the worst passage of each text."""
+        p = 1 / (1 + np.exp(self.cuts[None, :] - np.round(self.margins(texts), 9)[:, None]))
+        return p.sum(1), p[:, 0]
+
+
+def _ordinal(where: np.ndarray, feature: np.ndarray, width: int, y: np.ndarray, sw: np.ndarray, steps: int = 100, l2: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and cuts of the cumulative-link model by full-batch Adam.  where, feature: row and column of each 1."""
+    grades = max(GRADES.values())
+    w, t = np.zeros(width), np.array([3.0, *np.full(grades - 1, -0.5)])  # first cut, then logs of steps
+    m, v = [np.zeros_like(w), np.zeros_like(t)], [np.zeros_like(w), np.zeros_like(t)]
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    for step in range(1, steps + 1):
+        cuts = np.cumsum(np.concatenate((t[:1], np.exp(t[1:]))))
+        s = np.bincount(where, w[feature], len(y))
+        edge = np.concatenate(([-np.inf], cuts, [np.inf]))
+        up, lo = sig(edge[y + 1] - s), sig(edge[y] - s)
+        up[y == grades], lo[y == 0] = 1.0, 0.0
+        p = np.maximum(up - lo, 1e-9)
+        du, dl = up * (1 - up), lo * (1 - lo)
+        gw = np.bincount(feature, (sw * (du - dl) / p)[where], width) + l2 * w
+        gc = np.array([-np.sum((sw * du / p)[y == k]) + np.sum((sw * dl / p)[y == k + 1]) for k in range(grades)])
+        rest = np.cumsum(gc[::-1])[::-1]
+        gt = np.concatenate((rest[:1], rest[1:] * np.exp(t[1:]))) + np.concatenate((t[:1] - 3.0, t[1:] + 0.5))  # the cuts stay near where they begin
+        for k, (par, g) in enumerate(((w, gw), (t, gt))):
+            m[k] = 0.9 * m[k] + 0.1 * g
+            v[k] = 0.999 * v[k] + 0.001 * g * g
+            par -= 0.15 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+        np.minimum(w, MOST, out=w)
+    return w, np.cumsum(np.concatenate((t[:1], np.exp(t[1:]))))
+
+
+class _Sample:
+    """The documents of the training sample as passages of features, each feature that two documents share a number."""
+
+    def __init__(self, texts: Sequence[str]):
+        self.reader = Reader()
+        self.doc, where, keys = self.reader.read(texts)
+        self.keys, feature = np.unique(keys, return_inverse=True)
+        pair = np.unique(where * len(self.keys) + feature)
+        where, feature = pair // len(self.keys), pair % len(self.keys)
+        df = np.bincount(np.unique(self.doc[where] * len(self.keys) + feature) % len(self.keys), minlength=len(self.keys))
+        keep = df[feature] > 1
+        number = np.cumsum(df > 1) - 1
+        self.keys, self.where, self.feature = self.keys[df > 1], where[keep], number[feature[keep]]
+
+    def documents(self, which: np.ndarray) -> np.ndarray:
+        """In how many of the documents, given as a mask, each feature stands."""
+        ok = which[self.doc[self.where]]
+        pair = np.unique(self.doc[self.where[ok]] * len(self.keys) + self.feature[ok])
+        return np.bincount(pair % max(1, len(self.keys)), minlength=len(self.keys))
+
+
+def _fit(s: _Sample, grade: np.ndarray, fold: np.ndarray, rounds: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, weights, cuts, margin of each document's worst passage by a model that hasn't seen the document's fold).
+
+    grade of each document: above 0 bad, 0 fine, -1 unlabelled.  Which passages are meant, and which labels are wrong,
+    is judged by models that haven't seen them either: a document can't vouch for itself."""
+    n_bad, n_rest = max(1, (grade > 0).sum()), max(1, (grade <= 0).sum())
+    bad, rest = s.documents(grade > 0), s.documents(grade <= 0)
+    lift = np.log(np.maximum(1e-9, bad / n_bad) / ((rest + 1) / n_rest))
+    telling = (bad >= 2) & (lift - 1.5 / np.sqrt(np.maximum(bad, 1)) > np.log(8))
+    # What a passage's words say by themselves: at first the passages of a bad document with the most of it are meant.
+    hint = np.bincount(s.where, np.where(telling, np.minimum(lift, np.log(50)), 0.0)[s.feature], len(s.doc))
+    beside = np.zeros(len(s.doc), bool)
+    beside[s.where[telling[s.feature]]] = True
+    near, every = np.bincount(s.feature[beside[s.where]], minlength=len(s.keys)), np.bincount(s.feature, minlength=len(s.keys))
+    used = telling | (near >= 3) & (near > 0.3 * every)  # and words that tell what is fine beside such words
+    number, ok = np.cumsum(used) - 1, used[s.feature]
+    where, feature, width = s.where[ok], number[s.feature[ok]], int(used.sum())
+    # Passages with the same features are one row.
+    print_ = np.zeros(len(s.doc), np.int64)
+    np.add.at(print_, where, np.random.default_rng(5).integers(1, 1 << 62, width)[feature])
+    _, head, row = np.unique(print_, return_index=True, return_inverse=True)
+    is_head = np.zeros(len(s.doc), bool)
+    is_head[head] = True
+    sel = np.flatnonzero(is_head[where])
+    sel = sel[np.argsort(row[where[sel]], kind="stable")]
+    columns = feature[sel]
+    length = np.bincount(row[where[sel]], minlength=len(head))
+    start = np.cumsum(length) - length
+    g, f = grade[s.doc], fold[s.doc]
+    # A row that other documents hold as often as bad ones is fine, whatever it looks like.
+    in_bad, in_rest = np.bincount(row[g > 0], minlength=len(head)), np.bincount(row[g <= 0], minlength=len(head))
+    plain_row = ((in_rest >= 3) & (in_rest / n_rest > 0.5 * in_bad / n_bad))[row]
+
+    def fitted(seen: np.ndarray, margin: np.ndarray, cuts: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray]:
+        p = 1 / (1 + np.exp(np.clip(cuts[0] - margin, -30, 30)))
+        best = np.full(len(grade), -np.inf)
+        np.maximum.at(best, s.doc, margin)
+        meant = (g > 0) & ~plain_row & ((p > 0.5) | (margin == best[s.doc]) & (p > (0.05 if first else 0.3)))
+        more = (g == -1) & ~plain_row & (p > SURE) & (not first)
+        fine = (g == 0) & ((p < SURE) | plain_row) | (g == -1) & ((p < 0.3) | plain_row)
+        sure = 1 + np.clip((margin[:, None] >= cuts[None, 1:]).sum(1), 0, 2)
+        rows = []  # a row for each set of features and grade, weighted by its passages, of fine ones 30 at most
+        for mask, grades, most, each in ((meant, g, 1e9, 1.0), (more, sure, 1e9, 0.5), (fine, np.zeros_like(g), 30.0, 1.0)):
+            u, c = np.unique(row[mask & seen] * 4 + grades[mask & seen], return_counts=True)
+            rows.append((u // 4, u % 4, np.minimum(c, most) * each))
+        at, y, sw = (np.concatenate(x) for x in zip(*rows))
+        n = length[at]
+        idx = np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return _ordinal(np.repeat(np.arange(len(at)), n), columns[idx], width, y, sw)
+
+    margin, cuts = hint, np.array([8.0, 9.0, 10.0])
+    for r in range(rounds):
+        apart, at = np.zeros(len(s.doc)), []
+        for k in range(FOLDS):
+            w, c = fitted(f != k, margin, cuts, r == 0)
+            own = f[where] == k
+            # Margins of different models compare by their distance to the first cut.
+            m = np.bincount(where[own], w[feature[own]], len(s.doc)) - c[0]
+            apart += np.where(f == k, m, 0.0)
+            at.append(c - c[0])
+        margin, cuts = apart, np.mean(at, 0)
+    w, c = fitted(np.ones(len(s.doc), bool), margin, cuts, False)
+    best = np.full(len(grade), -np.inf)
+    np.maximum.at(best, s.doc, margin)
+    return s.keys[used], w, c, best
+
+
+def train(labelled: list[tuple[str, int]]) -> Model:
+    """labelled: text and grade of documents, -1 of unlabelled ones.  Without bad documents nothing is ever bad.
+
+    The bar is the middle of those whose F1 on the labelled documents, scored by models of other folds, is within half a
+    percent of the best.  Copies of a text fall into the same fold."""
+    docs = [(t, g) for t, g in labelled if t]
+    grade = np.array([g for _, g in docs], dtype=np.int64)
+    if not (grade > 0).any():
+        return Model([], np.zeros(0, np.uint64), np.zeros(0), np.array([3.0, 4.0, 5.0]))
+    sample = _Sample([t for t, _ in docs])
+    fold = np.array([_key(t) // 2 % FOLDS for t, _ in docs])
+    keys, weights, cuts, best = _fit(sample, grade, fold)
+    bars = np.arange(1, 20) / 20
+    above = 1 / (1 + np.exp(-best))[:, None] >= bars[None, :]
+    hit, said = above[grade > 0].sum(0), above[grade >= 0].sum(0)
+    f1 = 2 * hit / ((grade > 0).sum() + said)
+    good = bars[f1 >= f1.max() - 0.005]
+    read = sample.reader
+    words = {read.keys[n]: canonical(p.strip())[0] for p, n in read.number.items() if read.keys[n]}
+    order = np.argsort(-weights, kind="stable")
+    found = [words[int(keys[k])] for k in order if weights[k] > 0 and int(keys[k]) in words]
+    return Model([w for w in found if "*" not in w], keys, weights, cuts, float(good[len(good) // 2]))
 
 
 def agreed_labels(labels: DataFrame) -> DataFrame:
@@ -350,42 +358,45 @@ def agreed_labels(labels: DataFrame) -> DataFrame:
     return best.where(F.size(F.filter("all", lambda x: x == F.col("top"))) == 1).select("doc_id", "grade")
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """Train on at most max_labelled bad and as many fine labelled documents (the smallest hashes of doc_id): this
-    bounded sample is all that comes to the driver.  Where fewer fine ones are labelled, unlabelled documents stand in
-    for them: most are fine, and those that the model finds bad don't count."""
+def fit(documents: DataFrame, labels: DataFrame, max_bad: int = MAX_BAD, max_fine: int = MAX_FINE) -> Model:
+    """Train on at most max_bad documents labelled bad and max_fine others, those labelled fine first, then unlabelled
+    ones (the smallest hashes of doc_id each): this bounded sample is all that comes to the driver."""
     agreed = cut(agreed_labels(labels), "p8-labels")
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    bad = agreed.where("grade > 0").orderBy(*order).limit(max_labelled)
-    fine = agreed.where("grade = 0").orderBy(*order).limit(max_labelled)
+    bad = agreed.where("grade > 0").orderBy(*order).limit(max_bad)
+    fine = agreed.where("grade = 0").orderBy(*order).limit(max_fine)
     ids = {r["doc_id"]: r["grade"] for part in (bad, fine) for r in part.collect()}
-    lack = max_labelled - sum(not g for g in ids.values())
+    lack = max_fine - sum(not g for g in ids.values())
     texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
-    if lack > 0:
+    if lack > 0 and any(ids.values()):
         more = texts.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").orderBy(*order).limit(lack)
         ids |= {r["doc_id"]: -1 for r in more.collect()}
-    if not ids:
+    if not any(g > 0 for g in ids.values()):
         return train([])
     rows = texts.where(F.col("doc_id").isin(sorted(ids))).dropDuplicates(["doc_id"]).collect()  # reads row groups by id
     return train([(r["text"], ids[r["doc_id"]]) for r in sorted(rows, key=lambda r: r["doc_id"])])
 
 
-def score_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut_at: float = 0.5) -> DataFrame:
+def score_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, severity, probability, flagged) for every row with an id: the expected grade of the worst passage, the
-    probability that its grade is above 0, and whether that reaches cut_at.  Null and empty texts get the lowest score.  Every
-    passage of every text is scored; repeated rows of an id count once."""
-    spark = df.sparkSession
-    shipped = spark.sparkContext.broadcast((model.weights, model.cuts))  # bounded by the training sample
+    probability that its grade is above 0, and whether that reaches the model's bar.  Null and empty texts score as one
+    without features and are never flagged.  Every passage of every text is scored; of repeated rows of an id the worst
+    counts."""
+    shipped = df.sparkSession.sparkContext.broadcast((model.words, model.keys, model.weights, model.cuts))  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shipped.value)
         for b in batches:
-            got = [own.score(t) for t in b.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64())], ["id", "severity", "probability"])
+            for lo in range(0, b.num_rows, 1000):
+                c = b.slice(lo, 1000)
+                texts = c.column("t").to_pylist()
+                severity, p = own.score(texts)
+                yield pa.RecordBatch.from_arrays([c.column("id"), pa.array(severity), pa.array(p), pa.array([bool(t) for t in texts])], ["id", "severity", "probability", "full"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("id is not null").mapInArrow(run, f"id {kind}, severity double, probability double")
-    return rows.groupBy("id").agg(F.max("severity").alias("severity"), F.max("probability").alias("probability")).select(F.col("id").alias(id_col), "severity", "probability", (F.col("probability") >= cut_at).alias("flagged"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("id is not null").mapInArrow(run, f"id {kind}, severity double, probability double, full boolean")
+    one = rows.groupBy("id").agg(F.max("severity").alias("severity"), F.max("probability").alias("probability"), F.max("full").alias("full"))
+    return one.select(F.col("id").alias(id_col), "severity", "probability", (F.col("full") & (F.col("probability") >= model.bar)).alias("flagged"))
 
 
 def source_rates(df: DataFrame, scores: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:

@@ -304,17 +304,47 @@ def test_source_use_is_what_the_mixture_holds(spark):
 # 8
 
 
+def labelled_texts(n: int, seed: int, bad: float = 0.2) -> list[tuple[str, int]]:
+    """Invented words stand for bad ones: a document is bad if it has a passage built around them."""
+    rng = random.Random(seed)
+    vocab = [f"{a}{b}{c}" for a in "klmnprst" for b in "aeiou" for c in ("n", "r", "st", "lt", "mp")]
+    core = {1: "grolfen zibbat", 2: "you smurd plocking", 3: "folk dretch varnish"}
+    out = []
+    for _ in range(n):
+        lines = [" ".join(rng.choice(vocab) for _ in range(8)) for _ in range(5)]
+        g = rng.randint(1, 3) if rng.random() < bad else 0
+        if g:
+            lines[rng.randrange(5)] = f"the {core[g]} {rng.choice(vocab)} shall {core[g].split()[-1]} away"
+        elif rng.random() < 0.2:
+            lines[0] = f"a report says that {rng.choice(vocab)} smurd is a rule of the house"
+        out.append((". ".join(lines) + ".", g))
+    return out
+
+
 def test_moderation(spark):
-    model = moderation.train([])
-    bad = ["You are a pathetic idi0t and nobody wants you.", "Those people are v e r m i n and must be wiped out.", "Watch na​ked girls, free p*rn clips."]
-    good = ["The parasite lives in the gut of sheep.", "Kill the idle process.", "", "Posts that insult people are removed under our rules."]
-    assert all(model.score(t)[1] > 0.5 for t in bad) and all(model.score(t)[1] < 0.5 for t in good)
-    for p in moderation.passages(" ".join(bad + good)):
-        assert model.margin(p) == pytest.approx(model.sum(moderation.features(p)), abs=1e-5)
+    texts = labelled_texts(600, 1) + labelled_texts(600, 3, 0.03)
+    rng = random.Random(4)
+    noisy = [(t, g if rng.random() > 0.04 else (0 if g else 2)) for t, g in texts[:600]] + [(t, -1) for t, _ in texts[600:]]
+    model = moderation.train(noisy)
+    held = labelled_texts(300, 2)
+    severity, p = model.score([t for t, _ in held])
+    said = p >= model.bar
+    assert np.mean(said == np.array([g > 0 for _, g in held])) > 0.98
+    grade = np.array([g for _, g in held])
+    assert severity[grade == 3].mean() > severity[grade == 2].mean() > severity[grade == 1].mean() > severity[grade == 0].mean()
+    for bad in ("The you SMURRRD plocking xan shall p l o c k i n g away", "the you 5murd pl0cking kan shall plocking away", "the you sm*rd pl*cking ran shall plocking away", "the you s\u200bmurd p-l-o-c-k-i-n-g shall plocking away"):
+        assert model.score(["Fine. " + bad])[1][0] >= model.bar
+    assert list(moderation.train([]).score(["smurd", None, ""])[1] < 0.1) == [True] * 3
     labels = spark.createDataFrame([(1, " ABUSE ", "r"), (1, "abuse", None), (1, "ok", "s"), (2, "ok", None), (2, "hate", None), (3, None, None), (4, "odd", "r")], "doc_id long, label string, rater string")
     assert {(r.doc_id, r.grade) for r in moderation.agreed_labels(labels).collect()} == {(1, 2)}
-    docs = spark.createDataFrame([(1, bad[0], "S "), (2, good[0], "s"), (3, None, None), (4, "", "t"), (1, bad[0], "S ")], "doc_id long, text string, source string").withColumns({"id": F.lit(1), "severity": F.lit(2)})
-    scores = moderation.score_texts(docs, moderation.fit(docs, labels))
+    docs = spark.createDataFrame([(1, "the you smurd plocking kan shall plocking away", "S "), (2, "kan ran", "s"), (3, None, None), (4, "", "t"), (2, "kan ran", "s")], "doc_id long, text string, source string").withColumns({"id": F.lit(1), "severity": F.lit(2)})
+    scores = moderation.score_texts(docs, model)
     assert {r.doc_id: r.flagged for r in scores.collect()} == {1: True, 2: False, 3: False, 4: False}
     assert {(r.source, r.documents, r.flagged) for r in moderation.source_rates(docs, scores).collect()} == {("s", 2, 1), (None, 1, 0), ("t", 1, 0)}
+    assert not any(r.flagged for r in moderation.score_texts(docs, moderation.fit(docs, labels.limit(0))).collect())
     assert moderation.score_texts(docs.limit(0), model).count() == 0 and moderation.fit(docs.limit(0), labels.limit(0)) is not None
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    names = {v: k for k, v in moderation.GRADES.items()}
+    rated = spark.createDataFrame([(k, names[g], "r") for k, (_, g) in enumerate(noisy[:600])], "doc_id long, label string, rater string")
+    got = moderation.score_texts(frame, moderation.fit(frame, rated)).toPandas().set_index("doc_id").flagged
+    assert np.mean([got[k] == (g > 0) for k, (_, g) in enumerate(texts)]) > 0.98
