@@ -65,7 +65,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_plan(spark, d).where("short").select("source")
+    return p7_used(spark, d).where("short").select("source")
 
 
 def p7_plan(spark: SparkSession, d: str) -> DataFrame:
