@@ -35,6 +35,9 @@ class CharTokens:
     def back(self, text: str, end: int, tokens: int) -> int:
         return max(0, end - tokens * self.per)
 
+    def of_piece(self, text: str, start: int, end: int) -> int:
+        return (end - start) // self.per
+
 
 class OffsetTokens:
     """Any tokenizer that gives the end offset of each token; offsets(text) is sorted."""
@@ -60,6 +63,10 @@ class OffsetTokens:
         k = bisect_right(ends, end) - tokens
         return 0 if k <= 0 else ends[k - 1]
 
+    def of_piece(self, text: str, start: int, end: int) -> int:
+        """Tokens of the piece by itself: cut out of its text it can fall into other ones."""
+        return len(self.offsets(text[start:end]))
+
 
 def public_tokenizer(path: str) -> OffsetTokens:
     """Tokens of a tokenizers JSON file, such as the public vocabularies; path is read on the executors."""
@@ -71,23 +78,34 @@ def public_tokenizer(path: str) -> OffsetTokens:
 
 
 def spans(text: str, limit: int, overlap: int, tokens) -> list[tuple[int, int]]:
-    """(start, end) of the pieces, in order; together they cover the text, and each advances past the last one's end."""
+    """(start, end) of the pieces, in order; together they cover the text, and each advances past the last one's end.  A
+    piece that has more tokens by itself than within its text is cut shorter until it is within the limit; only a piece
+    of a single character can be above."""
     if tokens.count(text) <= limit:
         return [(0, len(text))]
     cuts = [[m.end() for m in b.finditer(text)] for b in BOUNDARIES]
-    out, start, n = [], 0, len(text)
+    out, start, n, room = [], 0, len(text), limit
     while True:
-        end = tokens.furthest(text, start, limit)
+        done = out[-1][1] if out else 0  # the new piece must reach beyond this
+        end = max(tokens.furthest(text, start, room), done + 1) if room > 0 else done + 1
+        over = tokens.of_piece(text, start, end) - limit
+        if over > 0 and room > 0:
+            room -= over
+            continue
+        if over > 0 and start < done:  # no room for an overlap
+            start, room = done, limit
+            continue
+        room = limit
         if end >= n:
             return [*out, (start, n)]
-        done = out[-1][1] if out else 0  # the new piece must reach beyond this
         least, cut = max(done + 1, start + (end - start) // 2), 0
         for ends in cuts:
             k = bisect_right(ends, end) - 1
             if k >= 0 and ends[k] >= least:
                 cut = ends[k]
                 break
-        cut = cut or end
+        if not cut or tokens.of_piece(text, start, cut) > limit:
+            cut = end
         out.append((start, cut))
         back = tokens.back(text, cut, overlap)
         # Begin at the first word or better boundary from there on, if that still repeats something.
