@@ -26,7 +26,10 @@ BLOCK = 16
 
 @dataclass
 class ItemIndex:
-    """Inverted index of items: for each term its postings by item, with the highest impact of each block of BLOCK."""
+    """Inverted index of items: for each term its postings by item, with the highest impact of each block of BLOCK.
+
+    Impacts are parts of what the item's cheapest run scores, so that 1 is the threshold of every item, and an item of
+    common words makes no other one's threshold lower."""
 
     items: list[tuple[int, str, str | None]]
     run: int = 12
@@ -49,12 +52,6 @@ class ItemIndex:
                 own[w] = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * len(ws) / average))
                 lists[w].append((i, own[w]))
             impact.append(own)
-        for w in sorted(lists):
-            docs, impacts = [i for i, _ in lists[w]], [x for _, x in lists[w]]
-            ends = [min(k + BLOCK, len(docs)) for k in range(0, len(docs), BLOCK)]
-            self.ids[w] = len(self.postings) + 1
-            self.postings.append((docs, impacts, ends, [max(impacts[e - (e - 1) % BLOCK - 1 : e]) for e in ends]))
-        self.most = np.array([0.0, *(max(p[1]) for p in self.postings)])
         self.runs: list[dict[tuple[str, ...], int]] = []
         self.least: list[float] = []
         for ws, own in zip(self.words, impact):
@@ -62,8 +59,17 @@ class ItemIndex:
             for k in range(len(ws) - self.run + 1):
                 grams.setdefault(tuple(ws[k : k + self.run]), k)
             self.runs.append(grams)
-            self.least.append(min((sum(own[w] for w in set(g)) for g in grams), default=math.inf) - 1e-9)
-        self.threshold = min(self.least, default=math.inf)
+            self.least.append(min((sum(own[w] for w in set(g)) for g in grams), default=math.inf))
+        # Items shorter than a run can't be held.
+        lists = {w: [(i, x / self.least[i]) for i, x in p if self.least[i] < math.inf] for w, p in lists.items()}
+        lists = {w: p for w, p in lists.items() if p}
+        for w in sorted(lists):
+            docs, impacts = [i for i, _ in lists[w]], [x for _, x in lists[w]]
+            ends = [min(k + BLOCK, len(docs)) for k in range(0, len(docs), BLOCK)]
+            self.ids[w] = len(self.postings) + 1
+            self.postings.append((docs, impacts, ends, [max(impacts[e - (e - 1) % BLOCK - 1 : e]) for e in ends]))
+        self.most = np.array([0.0, *(max(p[1]) for p in self.postings)])
+        self.threshold = 1 - 1e-9
 
     def wand(self, terms: set[int]) -> list[tuple[int, float]]:
         """Items that score at least the threshold for a query of these terms.  Block-max WAND: the cursors stay sorted
@@ -106,8 +112,8 @@ class ItemIndex:
                         c[0] += 1
                     if c[0] < len(docs) and docs[c[0]] == item:
                         score += impacts[c[0]]
-                if score >= self.least[item]:
-                    found.append((item, score))
+                if score >= self.threshold:
+                    found.append((item, score * self.least[item]))
                 to = item + 1
             for c in ahead:
                 docs = c[1][0]
@@ -191,12 +197,11 @@ def find_leaks(df: DataFrame, items: DataFrame, run: int = 12, id_col: str = "do
 
 
 def _one_pass(texts: DataFrame, spark, items: list[tuple], run: int, kind: str) -> DataFrame:
-    shipped = spark.sparkContext.broadcast(items)
+    shipped = spark.sparkContext.broadcast(ItemIndex(items, run))  # built once; a worker's tasks share it
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = None
+        index = shipped.value
         for b in batches:
-            index = index or ItemIndex(shipped.value, run)
             out = [(i, index.items[x][0], m, q, a, s) for i, t in zip(b.column("id").to_pylist(), b.column("t").to_pylist()) for x, m, q, a, s in index.leaks(plain_words(t))]
             if out:
                 c = list(zip(*out))
