@@ -240,6 +240,8 @@ def near_duplicate_groups(df: DataFrame, threshold: float = 0.5, id_col: str = "
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"components are not complete after {max_rounds} rounds")
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "rep")
     per = cls.select("h1", "h2", "rep").join(roots, "rep", "left").join(links.withColumnRenamed("u", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
     words = F.when(F.col("w") != "", F.struct(F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2")))
