@@ -21,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir where the cluster names it, else one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir.  Where it is unset, a temporary folder of our own if the
+    session runs on this machine alone, else an error: executors of a cluster would each write to their own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="tessella-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
@@ -40,11 +43,26 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the tables that cut has written so far; to be called when no result that reads them is needed any more.
+    Returns their number."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def small(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the bound, else as it is: the join is then shuffled."""
+    """df with a broadcast hint if its counted size is within the bound, else as it is: the join is then shuffled.  Size
+    and bound are rows where rows are of fixed length, else bytes."""
     return F.broadcast(df) if rows <= max_rows else df
 
 
