@@ -119,14 +119,14 @@ def sections(markup: str | None, skip: frozenset[str] = frozenset()) -> list[tup
                 if not hidden:
                     out.extend((*at, "text", t) for line in c.split("\n") if (t := " ".join(line.split())))
                 continue
-            if c.tag in DROPPED or c.tag in ("head", "title"):
+            if c.tag in DROPPED or c.tag in ("head", "title") or _dropped(c):
                 continue
             name = text_of(c) if c.tag in ("h2", "h3", "h4") else ""
             if c.tag == "h2" and name:
                 hidden = name.lower() in skip
                 at[:] = [name, None, at[2] + 1, 0, c.attrs.get("id")]
             elif c.tag in ("h3", "h4") and name:
-                at[1], at[3], at[4] = name, at[3] + 1, c.attrs.get("id") or at[4]
+                at[1], at[3], at[4] = name, at[3] + (c.tag == "h3"), c.attrs.get("id") or at[4]
             elif c.tag == "table":
                 if not hidden and (t := table(c)):
                     out.append((*at, "table", t))
@@ -138,3 +138,52 @@ def sections(markup: str | None, skip: frozenset[str] = frozenset()) -> list[tup
 
     walk(body)
     return out
+
+
+# Classes of parts that aren't a page's text.
+DROPPED_CLASSES = frozenset("sidebar toc infobox reference references mw-editsection".split())
+
+
+def _dropped(e: Element) -> bool:
+    return not DROPPED_CLASSES.isdisjoint((e.attrs.get("class") or "").split())
+
+
+def tables(markup: str | None) -> list[tuple[int, list[str], list[list[str]]]]:
+    """(number from 1, headers, rows) of the tables that stand in no other table.  Headers are the th cells of thead, else
+    of the first row that has any, else the first row's cells; a first row equal to them is no row; empty cells drop out."""
+
+    def outer(e: Element) -> list[Element]:
+        out = []
+        for c in e.children:
+            if isinstance(c, Element) and not _dropped(c):
+                out += [c] if c.tag == "table" else outer(c)
+        return out
+
+    got = []
+    for k, t in enumerate(outer(parse(markup)), 1):
+        lines = [[(c.tag, text_of(c)) for c in r.children if isinstance(c, Element) and c.tag in ("td", "th")] for r in find_all(t, "tr")]
+        head = next(iter(find_all(t, "thead")), None)
+        headers = [x for c in (find_all(head, "th") if head else []) if (x := text_of(c))]
+        if not headers:
+            named = next((r for r in lines if any(tag == "th" for tag, _ in r)), None)
+            headers = [x for tag, x in named if tag == "th" and x] if named else [x for _, x in (lines[0] if lines else []) if x]
+        rows = [y for r in lines if (y := [x for _, x in r if x])]
+        got.append((k, headers, rows[1:] if rows and headers and rows[0] == headers else rows))
+    return got
+
+
+def table_chunks(markup: str | None, per: int = 12) -> list[tuple[int, int, int, str]]:
+    """(table, chunk from 0, chunks, text): rows of a page's tables, `per` at a time under a line of the column names."""
+    out = []
+    for k, headers, rows in tables(markup):
+        head = [f"Columns: {' | '.join(headers)}"] if headers else []
+        parts = [rows[s : s + per] for s in range(0, len(rows), per)]
+        out += [(k, i, len(parts), "\n".join(head + [" | ".join(r) for r in p])) for i, p in enumerate(parts)]
+    return out
+
+
+def infobox(markup: str | None) -> list[tuple[str, str]]:
+    """(label, value) rows of the first table of class infobox."""
+    box = next((t for t in find_all(parse(markup), "table") if "infobox" in (t.attrs.get("class") or "").split()), None)
+    rows = [[text_of(c) for c in r.children if isinstance(c, Element) and c.tag in ("td", "th")] for r in find_all(box, "tr")] if box else []
+    return [(r[0], r[1]) for r in rows if len(r) == 2 and r[0] and r[1]]

@@ -50,6 +50,31 @@ def clean_wikitext(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, "'{2,}", ""), "\n{3,}", "\n\n"))
 
 
+def payload_text(payload: Column, longer_than: int = 50) -> Column:
+    """The text of a payload map: the first of the fields text, content, document_text, chunk_text that isn't empty, else
+    the first value of more than longer_than characters."""
+    named = F.coalesce(*(F.when(payload[k] != "", payload[k]) for k in ("text", "content", "document_text", "chunk_text")))
+    return F.coalesce(named, F.get(F.filter(F.map_values(payload), lambda v: F.length(v) > longer_than), F.lit(0)))
+
+
+def strip_last_sources(c: Column) -> Column:
+    """Without a block of sources at the end: a line `Sources:` of its own after a line break and all that follows, and
+    without blanks at the end."""
+    bare = F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+$", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"(?s)\r?\n(?:<sources>Sources</sources>|Sources|sources):\s*\r?\n.*$", ""), r"\s+$", "")
+
+
+# Entities that texts use most.
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&amp;": "&"}
+
+
+def unescape(c: Column) -> Column:
+    """The usual HTML entities as characters; & last, so that nothing is undone twice."""
+    for name, value in ENTITIES.items():
+        c = F.replace(c, F.lit(name), F.lit(value))
+    return c
+
+
 def strip_sources(c: Column) -> Column:
     """Cut the answer's list of sources: everything from a line that begins with `Sources:` on."""
     return F.regexp_replace(c, r"(?s)(^|\n+)\s*Sources:.*$", "")

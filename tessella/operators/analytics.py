@@ -47,6 +47,48 @@ def repeated_margins(lines: DataFrame, share: float = 0.6, edge: int = 3, shorte
     return count.join(pages, "doc_id").where(F.col("occurrences") >= F.greatest(F.lit(2), F.floor(F.col("pages") * share))).select("doc_id", "line", "occurrences")
 
 
+def without_repeated_margins(lines: DataFrame, share: float = 0.6, edge: int = 3, shortest: int = 5) -> DataFrame:
+    """lines (doc_id, page, pos, text) without what repeats of headers and footers: of each repeated_margins line among the
+    first and last `edge` lines of pages the first occurrence stays."""
+    shown = lines.withColumn("line", F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))))
+    w = Window.partitionBy("doc_id", "page")
+    full = F.when(F.col("line") != "", F.col("pos"))
+    at = shown.withColumns({"_up": F.count(full).over(w.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.count(full).over(w)})
+    margin = (F.col("line") != "") & ((F.col("_up") <= edge) | (F.col("_all") - F.col("_up") < edge))
+    found = repeated_margins(lines, share, edge, shortest).select("doc_id", "line", F.lit(True).alias("_rep"))
+    marked = at.withColumn("_m", margin).join(found, ["doc_id", "line"], "left").withColumn("_m", F.col("_m") & F.coalesce("_rep", F.lit(False)))
+    first = marked.where("_m").groupBy("doc_id", "line").agg(F.min(F.struct("page", "pos")).alias("_f"))  # partial minima
+    kept = marked.join(first, ["doc_id", "line"], "left").where(~F.col("_m") | (F.struct("page", "pos") == F.col("_f")))
+    return kept.select("doc_id", "page", "pos", "text")
+
+
+def payload_fields(df: DataFrame) -> DataFrame:
+    """(field, rows): every column that any row fills, with the number of rows that do."""
+    cols = df.columns
+    one = df.agg(*(F.count(c).alias(c) for c in cols))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("rows")) for c in cols))).alias("x")).select("x.*").where("rows > 0")
+
+
+def ranked(df: DataFrame, group: str, order: list[Column], id_col: str, width: int = 65_536) -> DataFrame:
+    """df with pos: the row's number within its group, by order and then by the (unique, whole) id.
+
+    A group of any size is spread over tasks: rows are numbered within slices of equal order values and ids of one
+    stretch of `width`, and each slice begins where the counts of those before it end."""
+    names = [f"_o{k}" for k in range(len(order))]
+    at = df.withColumns({**dict(zip(names, order)), "_b": F.floor(F.col(id_col) / width)})
+    slice_ = [group, *names, "_b"]
+    counts = at.groupBy(*slice_).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy(*names, "_b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.withColumn("_s", F.coalesce(before, F.lit(0))).drop("_n")
+    same = None
+    for c in slice_:
+        eq = F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))
+        same = eq if same is None else same & eq
+    numbered = at.withColumn("_r", F.row_number().over(Window.partitionBy(*slice_).orderBy(id_col)))
+    j = numbered.alias("r").join(starts.alias("s"), same)
+    return j.select(*(F.col(f"r.{c}").alias(c) for c in df.columns), (F.col("s._s") + F.col("r._r")).cast("int").alias("pos"))
+
+
 def collapse_sources(context: DataFrame) -> DataFrame:
     """context: idx, url, section, subsection.  One entry a place with all numbers that point there, in order of the
     first: `[1, 3] url (Section: a > b)`."""

@@ -43,6 +43,27 @@ def html_meta(df: DataFrame, id_col: str = "page_id", html_col: str = "html", ur
     return out.withColumnRenamed("id", id_col)
 
 
+def html_tables(df: DataFrame, per: int = 12, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, table_index, table_chunk_index, table_total_chunks, content_type, text) of each page's tables and, as
+    content_type infobox with index 0, the rows `label: value` of its infobox.  Null pages: no rows."""
+    names = ["id", "table_index", "table_chunk_index", "table_total_chunks", "content_type", "text"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for i, h in zip(b.column("id").to_pylist(), b.column("h").to_pylist()):
+                if h and "<table" in h.lower():
+                    box = markup.infobox(h)
+                    rows += [(i, 0, 0, 1, "infobox", "\n".join(f"{k}: {v}" for k, v in box))] if box else []
+                    rows += [(i, t, k, n, "table", x) for t, k, n, x in markup.table_chunks(h, per)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    out = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(html_col).alias("h")).mapInArrow(run, "id bigint, table_index int, table_chunk_index int, table_total_chunks int, content_type string, text string")
+    return out.withColumnRenamed("id", id_col)
+
+
 def price_points(df: DataFrame, payload_col: str = "payload", id_col: str = "symbol") -> DataFrame:
     """(symbol, pos, d, close) of price payloads: a list, or one under data, prices, history, results, items[0].history
     or the symbol; points name date and close as d/date/t and c/close/v.  Unreadable payloads give no rows."""

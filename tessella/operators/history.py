@@ -34,20 +34,51 @@ def split_for_prompt(messages: DataFrame, keep_turns: int = 4, summarise_turns:
 
 
 def rollover_chunks(messages: DataFrame, turns: int) -> DataFrame:
-    """(conv_id, chunk, first_turn, last_turn): history in chunks of `turns` turns; each chunk but the first repeats the
-    last completed turn of the one before."""
+    """(conv_id, chunk, first_turn, last_turn), in numbers of messages: a chunk ends after `turns` turns of two messages,
+    counted from 0 again for each chunk; each but the first begins with the last completed turn of the one before.
+    A chunk that holds nothing but that turn isn't begun yet."""
     size = 2 * turns
-    step = max(2, size - 2)
     n = messages.groupBy("conv_id").agg(F.max("turn").alias("n"))
-    starts = n.select("conv_id", "n", F.posexplode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - 2), F.lit(step))).alias("chunk", "first_turn"))
-    return starts.select("conv_id", "chunk", F.col("first_turn").cast("int").alias("first_turn"), F.least(F.col("first_turn") + size - 1, F.col("n")).cast("int").alias("last_turn"))
+    at = n.select("conv_id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / size).cast("int"))).alias("chunk"))
+    return at.select("conv_id", "chunk", F.greatest(F.lit(1), F.col("chunk") * size - 1).alias("first_turn"), F.least((F.col("chunk") + 1) * size, F.col("n")).cast("int").alias("last_turn"))
 
 
 def token_rollover(messages: DataFrame, limit: int = 4000) -> DataFrame:
-    """(conv_id, turn, chunk): a message belongs to the chunk that the tokens before it fill."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.floor(F.length("text") / 4)).over(w), F.lit(0))
-    return messages.select("conv_id", "turn", F.floor(before / limit).cast("int").alias("chunk"))
+    """(conv_id, turn, chunk): a chunk ends with the message by which a quarter of its characters, rounded down once,
+    reaches the limit; the next one counts anew.  A conversation is one group by nature; only lengths are gathered."""
+    g = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce(F.length("text"), F.lit(0)).alias("n")))).alias("m"))
+    zero = F.struct(F.lit(0).cast("bigint").alias("chars"), F.lit(0).alias("chunk"), F.array().cast("array<struct<turn:int,chunk:int>>").alias("out"))
+
+    def step(acc, x):
+        over = F.floor(acc["chars"] / 4) >= limit
+        chunk = acc["chunk"] + over.cast("int")
+        chars = F.when(over, F.lit(0)).otherwise(acc["chars"]) + x["n"]
+        return F.struct(chars.cast("bigint").alias("chars"), chunk.alias("chunk"), F.concat(acc["out"], F.array(F.struct(x["turn"].alias("turn"), chunk.alias("chunk")))).alias("out"))
+
+    return g.select("conv_id", F.explode(F.aggregate("m", zero, step, lambda a: a["out"])).alias("r")).select("conv_id", "r.turn", "r.chunk")
+
+
+HEADER = "Summarize the following conversation in a few sentences:\n\n"  # fixed value
+
+
+def summary_prompt(messages: DataFrame, budget: int | None, header: str = HEADER) -> DataFrame:
+    """(conv_id, prompt, kept): the header and lines `role: text` within a budget of words, from the newest back to the
+    first that doesn't fit; a line takes one more for its break.  The newest line always stays: clipped to what is left,
+    with an ellipsis, or its role alone where nothing is.  Without a budget all lines stay."""
+    line = F.concat(F.col("role"), F.lit(": "), F.coalesce("text", F.lit("")))
+    m = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), line.alias("line"))
+    if budget is not None and budget > 0:
+        left = budget - len(header.split())
+        w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+        m = m.withColumns({"r": F.row_number().over(w), "w": F.filter(F.split("text", r"[ \t\n\r]+"), lambda x: x != "")})
+        room = F.lit(left - 2)  # the break and the role
+        clipped = F.when(room <= 0, F.concat("role", F.lit(":"))).otherwise(F.concat(F.col("role"), F.lit(": "), F.array_join(F.slice("w", F.lit(1), F.greatest(F.lit(1), room)), " "), F.lit("…")))
+        first = (F.col("r") == 1) & (T.words(F.col("line")) + 1 > left)
+        m = m.withColumn("line", F.when(first, clipped).otherwise(F.col("line")))
+        used = F.sum(T.words(F.col("line")) + 1).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        m = m.withColumn("used", used).where((F.col("r") == 1) | (F.col("used") <= left))
+    g = m.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("a"))
+    return g.select("conv_id", F.concat(F.lit(header), F.array_join(F.transform("a", lambda x: x["line"]), "\n")).alias("prompt"), F.size("a").alias("kept"))
 
 
 def history_key(messages: DataFrame) -> DataFrame:

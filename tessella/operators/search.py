@@ -21,8 +21,24 @@ def payload_filter(conditions: dict[str, object]) -> Column:
     return out
 
 
+def lowered_filter(conditions: dict[str, object]) -> Column:
+    """All of the equalities, with every string in lower case, url as url_lower; null values are skipped; none: true.
+    A field that isn't stored in lower case can't match, which is what the search endpoint does."""
+    return payload_filter({k: v.lower() if isinstance(v, str) else v for k, v in conditions.items()})
+
+
+def any_url(url: str) -> Column:
+    """url as it is or in lower case as url_lower."""
+    return (F.col("url") == url) | (F.col("url_lower") == url.lower())
+
+
+def chunks_by_url(df: DataFrame, url: str, limit: int = 100, by: str = "url_lower", id_col: str = "point_id") -> DataFrame:
+    """The first chunks of a page, by url_lower or base_url_lower, without vectors; the limit is the feature."""
+    return df.where(F.col(by) == url.lower()).drop("vector").orderBy(id_col).limit(limit)
+
+
 def scan(df: DataFrame, conditions: dict[str, object], columns: Sequence[str]) -> DataFrame:
-    """Filter and projection, both pushed into the Parquet scan."""
+    """Filter and projection, both pushed into the Parquet scan where df is one."""
     return df.where(payload_filter(conditions)).select(*columns)
 
 

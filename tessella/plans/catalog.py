@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.functions import vector as V
-from tessella.operators import analytics, chunking, extraction, history, index, metering, ranking, search
+from tessella.operators import analytics, chunking, documents, embedding, extraction, history, index, metering, ranking, search
 from tessella.streaming import events as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,10 +30,13 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def chunks(spark: SparkSession, d: str, *cols: str) -> DataFrame:
-    """Each point once: replayed rows are identical."""
+def chunks(spark: SparkSession, d: str, *cols: str, where: Column | str | None = None) -> DataFrame:
+    """Each point once: replayed rows are identical, so the filter comes first, at the scan, and equal rows are merged
+    before the shuffle."""
     c = table(spark, d, "chunks")
-    return (c.select("point_id", *[x for x in cols if x != "point_id"]) if cols else c).dropDuplicates(["point_id"])
+    if where is not None:
+        c = c.where(where)
+    return (c.select("point_id", *[x for x in cols if x != "point_id"]) if cols else c).distinct()
 
 
 C = "WITH c AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY point_id) = 1) "
@@ -104,27 +107,57 @@ def _(spark, d):
 
 @query("s1_filtered_scan", C + "SELECT point_id, title, section FROM c WHERE document_type = 'pdf' AND section = 'Overview'")
 def _(spark, d):
-    return search.scan(chunks(spark, d, "title", "section", "document_type"), {"document_type": "pdf", "section": "Overview", "domain": None}, ["point_id", "title", "section"])
+    return search.scan(table(spark, d, "chunks"), {"document_type": "pdf", "section": "Overview", "domain": None}, ["point_id", "title", "section"]).distinct()
 
 
 @query("s2_get_by_field", C + "SELECT point_id, rpad(left(coalesce(title, ''), 25), 25, ' ') AS title, base_url_lower FROM c WHERE domain = 'lantern_wiki'")
 def _(spark, d):
-    return chunks(spark, d, "title", "base_url_lower", "domain").where("domain = 'lantern_wiki'").select("point_id", F.rpad(F.substring(F.coalesce("title", F.lit("")), 1, 25), 25, " ").alias("title"), "base_url_lower")
+    return chunks(spark, d, "title", "base_url_lower", where="domain = 'lantern_wiki'").select("point_id", F.rpad(F.substring(F.coalesce("title", F.lit("")), 1, 25), 25, " ").alias("title"), "base_url_lower")
 
 
 @query("s3_chunks_by_url", C + "SELECT a.point_id, b.n FROM c a JOIN (SELECT url_lower, count(*) AS n FROM c GROUP BY 1) b USING (url_lower)")
 def _(spark, d):
-    return chunks(spark, d, "url_lower").where("url_lower is not null").select("point_id", F.count(F.lit(1)).over(Window.partitionBy("url_lower")).alias("n"))
+    return chunks(spark, d, "url_lower", where="url_lower is not null").select("point_id", F.count(F.lit(1)).over(Window.partitionBy("url_lower")).alias("n"))
 
 
-@query("s7_payload_text", "SELECT doc_id, coalesce(nullif(trim(text), ''), nullif(trim(title), ''), '') AS body FROM documents")
+@query("s7_payload_text", "SELECT DISTINCT request_id, coalesce(nullif(content, ''), CASE WHEN length(title) > 50 THEN title END, CASE WHEN length(description) > 50 THEN description END, CASE WHEN length(url) > 50 THEN url END) AS body FROM embedding_requests")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.coalesce(F.when(F.trim("text") != "", F.trim("text")), F.when(F.trim("title") != "", F.trim("title")), F.lit("")).alias("body"))
+    r = table(spark, d, "embedding_requests")
+    payload = F.create_map(*(x for c in ("content", "title", "description", "url") for x in (F.lit(c), F.col(c))))
+    return r.select("request_id", T.payload_text(payload).alias("body")).distinct()
+
+
+@query("s3_chunks_of_url", "SELECT DISTINCT point_id, section, text FROM chunks WHERE url_lower = (SELECT min(url_lower) FROM chunks WHERE url_lower <> '') ORDER BY point_id LIMIT 100")
+def _(spark, d):
+    url = table(spark, d, "chunks").where("url_lower <> ''").agg(F.min("url_lower")).first()[0] or ""
+    return search.chunks_by_url(chunks(spark, d, "section", "text", "url_lower", where=F.col("url_lower") == url), url).select("point_id", "section", "text")
+
+
+@query("s4_chunks_of_base_url", "SELECT DISTINCT point_id, section, text FROM chunks WHERE base_url_lower = (SELECT min(base_url_lower) FROM chunks WHERE base_url_lower <> '') ORDER BY point_id LIMIT 100")
+def _(spark, d):
+    url = table(spark, d, "chunks").where("base_url_lower <> ''").agg(F.min("base_url_lower")).first()[0] or ""
+    return search.chunks_by_url(chunks(spark, d, "section", "text", "base_url_lower", where=F.col("base_url_lower") == url), url, by="base_url_lower").select("point_id", "section", "text")
+
+
+@query("f2_lowered_filter", C + "SELECT point_id, domain FROM c WHERE document_type = 'pdf' AND domain = 'lantern_wiki'")
+def _(spark, d):
+    return chunks(spark, d, "domain", where=search.lowered_filter({"document_type": "PDF", "domain": "Lantern_Wiki", "section": None}))
+
+
+@query("f3_any_url", C + "SELECT point_id, url FROM c WHERE url = (SELECT min(url) FROM chunks WHERE url LIKE 'https://www.%') OR url_lower = lower((SELECT min(url) FROM chunks WHERE url LIKE 'https://www.%'))")
+def _(spark, d):
+    url = table(spark, d, "chunks").where("url like 'https://www.%'").agg(F.min("url")).first()[0] or ""
+    return chunks(spark, d, "url", where=search.any_url(url))
+
+
+@query("f12_chunks_with_text", C + "SELECT point_id, length(text) AS n FROM c WHERE length(text) > 0")
+def _(spark, d):
+    return chunks(spark, d, "text", where="length(text) > 0").select("point_id", F.length("text").cast("bigint").alias("n"))
 
 
 @query("f5_prefix", C + "SELECT point_id, url FROM c WHERE starts_with(url, 'https://www.') AND contains(url, '#')")
 def _(spark, d):
-    return chunks(spark, d, "url").where(F.col("url").startswith("https://www.") & F.col("url").contains("#")).select("point_id", "url")
+    return chunks(spark, d, "url", where=F.col("url").startswith("https://www.") & F.col("url").contains("#"))
 
 
 @query("f15_preview", C + "SELECT point_id, CASE WHEN length(text) > 500 THEN left(text, 500) || '…' ELSE text END AS preview FROM c")
@@ -132,17 +165,56 @@ def _(spark, d):
     return chunks(spark, d, "text").select("point_id", T.preview(F.col("text"), 500).alias("preview"))
 
 
-@query("f17_intents", "SELECT doc_id, regexp_matches(lower(title), '\\b(overview of|summar(y|ise|ize) (of )?(the|all|this)|what (do|does) .* (cover|contain)|table of contents|list all (topics|documents))\\b') AS overview, contains(lower(title), 'search the web') OR contains(lower(title), 'look it up online') OR contains(lower(title), 'latest news') OR contains(lower(title), 'search online') OR contains(lower(title), 'on the internet') OR contains(lower(title), 'web search') OR contains(lower(title), 'current price') OR contains(lower(title), 'today') AS web FROM documents WHERE title IS NOT NULL")
+def _phrases(c: str, phrases: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(lower({c}), '{x}')" for x in phrases) + ")"
+
+
+OVERVIEW_SQL = "'(?i)(" + "|".join(ranking.OVERVIEW).replace("'", "''") + ")'"
+
+
+@query("f17_intents", f"SELECT doc_id, {_phrases('text', ranking.WEB)} AS web, coalesce(regexp_matches(text, '{ranking.CHART}'), false) AS chart FROM documents WHERE text IS NOT NULL")
 def _(spark, d):
-    return table(spark, d, "documents").where("title is not null").select("doc_id", ranking.wants_overview(F.col("title")).alias("overview"), ranking.wants_web(F.col("title")).alias("web"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", ranking.wants_web(F.col("text")).alias("web"), ranking.wants_chart(F.col("text")).alias("chart"))
 
 
-@query("f19_should_rewrite", MSG + """, q AS (SELECT *, ' ' || regexp_replace(lower(text), '[^a-z'']+', ' ', 'g') || ' ' AS low FROM m WHERE role = 'user')
-SELECT conv_id, turn, len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) <= 7 OR (regexp_matches(low, ' (it|this|that|they|them|those|these|he|she|there) ') AND regexp_matches(low, ' (what|when|where|who|why|how|which) ')) AS rewrite FROM q""")
+@query("f18_overview_intent", f"SELECT doc_id, regexp_extract(trim(text), {OVERVIEW_SQL}, 1) <> '' AS overview, regexp_extract(trim(text), {OVERVIEW_SQL}, 1) AS matched FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", ranking.wants_overview(F.col("text")).alias("overview"), ranking.overview_match(F.col("text")).alias("matched"))
+
+
+@query("f19_should_rewrite", MSG + f"SELECT conv_id, turn, text <> '' AND (len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) <= 7 OR (regexp_matches(text, '{ranking.POINTING}') AND regexp_matches(text, '{ranking.QUESTION}'))) AS rewrite FROM m WHERE role = 'user'")
 def _(spark, d):
     return messages(spark, d).where("role = 'user'").select("conv_id", "turn", ranking.should_rewrite(F.col("text")).alias("rewrite"))
 
 
+@query("f21_unsupported_answers", MSG + f"SELECT conv_id, turn, ends_with(regexp_replace(text, '[ \\t\\r\\n''\"]+$', ''), 'NO_SUPPORTED_SOURCES') OR {_phrases('text', ranking.UNSUPPORTED)} AS unsupported FROM m WHERE role = 'assistant'")
+def _(spark, d):
+    return messages(spark, d).where("role = 'assistant'").select("conv_id", "turn", ranking.without_support(F.col("text")).alias("unsupported"))
+
+
+@query("f22_unsafe_markup", "SELECT DISTINCT request_id, regexp_matches(lower(content), '<script|javascript:|<foreignobject|[ \\t\\n\\r]on[a-z]+[ \\t\\n\\r]*=') AS unsafe FROM embedding_requests WHERE content IS NOT NULL")
+def _(spark, d):
+    return table(spark, d, "embedding_requests").where("content is not null").select("request_id", ranking.unsafe_svg(F.col("content")).alias("unsafe")).distinct()
+
+
+NAMES_SQL = "list_filter(list_transform(regexp_extract_all({c}, '" + ranking.NAME + "', 1), lambda x: regexp_replace(regexp_replace(x, '^[Tt]he\\s+', ''), '[ \\t\\n\\r\\-–—,:;.!?]+$', '')), lambda x: regexp_matches(x, '[^\\s]\\s+[^\\s]') AND NOT list_contains([" + ", ".join(f"'{w}'" for w in sorted(ranking.STOP)) + "], lower(regexp_extract(x, '^([^\\s]+)', 1))))"
+
+
+@query("o6_clarify_candidates", MSG + ", u AS (SELECT conv_id, turn, text FROM m WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2), f AS (SELECT conv_id, flatten(list(" + NAMES_SQL.replace("{c}", "text") + """ ORDER BY turn DESC)) AS f FROM u GROUP BY 1),
+ g AS (SELECT conv_id, list_filter(f, lambda x, i: list_position(list_transform(f, lambda y: lower(y)), lower(x)) = i)[1:5] AS g FROM f),
+ e AS (SELECT conv_id, unnest(g) AS x FROM g), r AS (SELECT conv_id, x, row_number() OVER (PARTITION BY conv_id ORDER BY len(regexp_split_to_array(x, '\\s+')) DESC, x) AS r FROM e)
+SELECT g.conv_id, coalesce((SELECT string_agg(x, '|' ORDER BY r) FROM r WHERE r.conv_id = g.conv_id AND r <= 3), '') AS candidates FROM g""")
+def _(spark, d):
+    return ranking.clarify_candidates(messages(spark, d)).select("conv_id", F.array_join("candidates", "|").alias("candidates"))
+
+
+@query("m3_rewrite_policy", "SELECT event_id, event_id % 3 > 0 AND event_id % 5 > 0 AND (event_id % 11) / 10.0 >= 0.7 AS accepted, NOT (event_id % 3 > 0 AND event_id % 5 > 0 AND (event_id % 11) / 10.0 >= 0.7) AND (event_id % 5 = 0 OR (event_id % 11) / 10.0 < 0.7) AS clarify FROM events")
+def _(spark, d):
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") % 3 > 0).alias("c"), (F.col("event_id") % 5 == 0).alias("a"), (F.col("event_id") % 11 / 10.0).alias("p"))
+    ok = ranking.accept_rewrite(F.col("c"), F.col("a"), F.col("p"))
+    return e.select("event_id", ok.alias("accepted"), (~ok & ranking.needs_clarification(F.col("a"), F.col("p"))).alias("clarify"))
+
+
 @query("f24_already_indexed", "SELECT DISTINCT r.request_id, EXISTS (SELECT 1 FROM chunks c WHERE c.url_lower = lower(r.url)) AS indexed FROM embedding_requests r WHERE r.url IS NOT NULL")
 def _(spark, d):
     have = table(spark, d, "chunks").select(F.col("url_lower").alias("u")).distinct().withColumn("indexed", F.lit(True))
@@ -168,7 +240,7 @@ def _(spark, d):
  e AS (SELECT point_id, sha1(unhex(ns) || encode(CAST(chunk_index AS VARCHAR))) AS h FROM b)
 SELECT point_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', CAST(CAST('0x' || h[17:17] AS INTEGER) % 4 + 1 AS INTEGER), 1) || h[18:20] || '-' || h[21:32] AS uuid FROM e""")
 def _(spark, d):
-    return chunks(spark, d, "url", "chunk_index").where("url is not null and chunk_index is not null").select("point_id", T.point_id(F.col("url"), F.col("chunk_index")).alias("uuid"))
+    return chunks(spark, d, "url", "chunk_index", where="url is not null and chunk_index is not null").select("point_id", T.point_id(F.col("url"), F.col("chunk_index")).alias("uuid"))
 
 
 @query("d4_delete_by_base_url", C + f", k AS (SELECT {KEY} AS document, count(*) AS n FROM c GROUP BY 1 HAVING count(*) >= 5) SELECT point_id, {KEY} AS document FROM c WHERE {KEY} IS NULL OR {KEY} NOT IN (SELECT document FROM k WHERE document IS NOT NULL)")
@@ -180,7 +252,7 @@ def _(spark, d):
 
 @query("d7_delete_by_field", C + "SELECT point_id, document_type FROM c WHERE document_type IS NULL OR lower(document_type) <> 'pdf'")
 def _(spark, d):
-    return index.delete_where(chunks(spark, d, "document_type"), F.lower("document_type") == "pdf").select("point_id", "document_type")
+    return index.delete_where(table(spark, d, "chunks"), F.lower("document_type") == "pdf").select("point_id", "document_type").distinct()
 
 
 @query("d9_update_payload", C + "SELECT point_id, CASE WHEN lower(document_type) = 'pdf' THEN 'paper' ELSE content_type END AS content_type FROM c")
@@ -206,9 +278,37 @@ def _(spark, d):
     return index.clone_points(chunks(spark, d, "domain"), "point_id", 100).select("point_id", "domain")
 
 
-@query("d14_export")
+@query("d14_export", "WITH p AS (SELECT point_id, vector FROM (" + LATEST + ")), " + C[len("WITH "):] + "SELECT p.point_id AS id, coalesce(len(vector), -1) AS elements, title, section, url FROM p JOIN c USING (point_id) WHERE vector IS NULL OR len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0")
 def _(spark, d):
-    return index.export_json(chunks(spark, d, "title", "section", "url"), "point_id", ["title", "section", "url"])
+    """The lines of the export, read again: JSON has no numbers that aren't finite."""
+    p = table(spark, d, "points").groupBy("point_id").agg(F.max_by("vector", F.struct("updated_at", F.xxhash64("vector"))).alias("vector"))
+    p = p.where(F.col("vector").isNull() | ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    lines = index.export_json(p.join(chunks(spark, d, "title", "section", "url"), "point_id"), "point_id", ["title", "section", "url"])
+    x = F.from_json("value", "id bigint, vector array<float>, payload struct<title string, section string, url string>")
+    return lines.select(x.alias("x")).select("x.id", F.when(F.col("x.vector").isNull(), -1).otherwise(F.size("x.vector")).cast("bigint").alias("elements"), "x.payload.title", "x.payload.section", "x.payload.url")
+
+
+@query("d4_delete_by_url", C + "SELECT count(*) FILTER (WHERE base_url_lower = (SELECT min(base_url_lower) FROM chunks WHERE base_url_lower <> '')) AS deleted FROM c")
+def _(spark, d):
+    url = table(spark, d, "chunks").where("base_url_lower <> ''").agg(F.min("base_url_lower")).first()[0]
+    return index.counted_delete(chunks(spark, d, "base_url_lower"), F.col("base_url_lower") == F.lit(url))[1]
+
+
+@query("d10_backfill_limited", "WITH " + BACKFILL[len("WITH "):] + ", l AS (SELECT max(point_id) AS l FROM (SELECT point_id FROM n WHERE needs ORDER BY point_id LIMIT 50)) SELECT point_id, CASE WHEN needs AND point_id <= l THEN base ELSE base_url END AS base_url, needs AS needs_update FROM n, l")
+def _(spark, d):
+    return index.backfill_base_url(chunks(spark, d, "url", "url_lower", "base_url", "base_url_lower"), max_updates=50).select("point_id", "base_url", "needs_update")
+
+
+@query("d13_clone_report", C + "SELECT count(*) AS source_points, count(*) - 100 AS target_points, false AS complete FROM c")
+def _(spark, d):
+    c = chunks(spark, d, "domain")
+    return index.clone_report(c, index.clone_points(c, "point_id", 100))
+
+
+@query("d12_copy_collection", "SELECT collection_name, dim, distance FROM collections UNION ALL SELECT 'copy', dim, distance FROM collections WHERE collection_name = (SELECT min(collection_name) FROM collections)")
+def _(spark, d):
+    c = table(spark, d, "collections")
+    return index.copied_collection(c, c.agg(F.min("collection_name")).first()[0], "copy").select("collection_name", "dim", "distance")
 
 
 # Analytics
@@ -216,7 +316,7 @@ def _(spark, d):
 
 @query("a1_counts_by_url", C + "SELECT url_lower, count(*) AS n FROM c WHERE url_lower IS NOT NULL GROUP BY 1")
 def _(spark, d):
-    return chunks(spark, d, "url_lower").where("url_lower is not null").groupBy("url_lower").agg(F.count(F.lit(1)).alias("n"))
+    return chunks(spark, d, "url_lower", where="url_lower is not null").groupBy("url_lower").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("a2_list_documents", C + f"SELECT {KEY} AS document, count(*) AS chunks, arg_min(title, CASE WHEN trim(title) <> '' THEN point_id END) AS title, max(updated_at) AS updated_at FROM c GROUP BY 1")
@@ -226,7 +326,7 @@ def _(spark, d):
 
 @query("a3_list_chunks", C + f"SELECT point_id, {KEY} AS document, coalesce(title, '') AS title FROM c WHERE contains({KEY}, 'guide')")
 def _(spark, d):
-    return chunks(spark, d, "title", "url", "base_url", "url_lower").select("point_id", analytics.document_key().alias("document"), F.coalesce("title", F.lit("")).alias("title")).where(F.col("document").contains("guide"))
+    return chunks(spark, d, "title", "url", "base_url", "url_lower", where=analytics.document_key().contains("guide")).select("point_id", analytics.document_key().alias("document"), F.coalesce("title", F.lit("")).alias("title"))
 
 
 @query("a4_first_seen", C + "SELECT base_url, left(arg_min(title, point_id), 30) AS title FROM c WHERE base_url IS NOT NULL GROUP BY 1")
@@ -246,8 +346,8 @@ def _(spark, d):
 
 @query("a22_debug_index", C + "SELECT point_id, CAST(row_number() OVER (PARTITION BY domain ORDER BY coalesce(section_index, 0), coalesce(chunk_index, 0), point_id) AS INTEGER) AS pos FROM c WHERE domain IS NOT NULL")
 def _(spark, d):
-    w = Window.partitionBy("domain").orderBy(F.coalesce("section_index", F.lit(0)), F.coalesce("chunk_index", F.lit(0)), "point_id")
-    return chunks(spark, d, "domain", "section_index", "chunk_index").where("domain is not null").select("point_id", F.row_number().over(w).alias("pos"))
+    c = chunks(spark, d, "domain", "section_index", "chunk_index", where="domain is not null")
+    return analytics.ranked(c, "domain", [F.coalesce("section_index", F.lit(0)), F.coalesce("chunk_index", F.lit(0))], "point_id").select("point_id", "pos")
 
 
 @query("a20_text_bytes", C + "SELECT domain, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM c GROUP BY 1")
@@ -259,15 +359,8 @@ def _(spark, d):
  g AS (SELECT url, section, subsection, list_sort(list_distinct(list(idx))) AS ids FROM x WHERE trim(url) <> '' GROUP BY ALL)
 SELECT ids[1] AS first_idx, '[' || array_to_string(ids, ', ') || '] ' || url || CASE WHEN section <> '' OR subsection <> '' THEN ' (Section: ' || section || CASE WHEN section <> '' AND subsection <> '' THEN ' > ' ELSE '' END || subsection || ')' ELSE '' END AS entry FROM g""")
 def _(spark, d):
-    c = chunks(spark, d, "base_url", "section", "subsection", "domain").where("domain is not null")
-    return analytics.collapse_sources(c.select(F.row_number().over(Window.partitionBy("domain").orderBy("point_id")).alias("idx"), F.col("base_url").alias("url"), "section", "subsection"))
-
-
-@query("a12_repeated_margins")
-def _(spark, d):
-    c = chunks(spark, d, "text", "base_url").where("text is not null and base_url is not null")
-    lines = c.select(F.col("base_url").alias("doc_id"), F.col("point_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    return analytics.repeated_margins(lines)
+    c = chunks(spark, d, "base_url", "section", "subsection", "domain", where="domain is not null")
+    return analytics.collapse_sources(analytics.ranked(c, "domain", [], "point_id").select(F.col("pos").alias("idx"), F.col("base_url").alias("url"), "section", "subsection"))
 
 
 @query("w9_stratified_sample", C + f""", k AS (SELECT DISTINCT {KEY} AS key FROM c WHERE {KEY} IS NOT NULL), h AS (SELECT key, regexp_replace(regexp_extract(lower(key), '^[a-z][a-z0-9+.\\-]*://([^/?#]*)', 1), '^.*@|:[0-9]*$', '') AS stratum, sha256('seed' || chr(31) || key) AS o FROM k),
@@ -319,16 +412,26 @@ def _(spark, d):
     return history.split_for_prompt(messages(spark, d), 1, 2)
 
 
-@query("w4_rollover")
+@query("w4_rollover", MSG + ", n AS (SELECT conv_id, max(turn) AS n FROM m GROUP BY 1), k AS (SELECT conv_id, n, unnest(range((n - 1) // 4 + 1)) AS k FROM n) SELECT conv_id, CAST(k AS INTEGER) AS chunk, CAST(greatest(1, 4 * k - 1) AS INTEGER) AS first_turn, CAST(least(4 * k + 4, n) AS INTEGER) AS last_turn FROM k")
 def _(spark, d):
     return history.rollover_chunks(messages(spark, d), 2)
 
 
-@query("w5_token_rollover", MSG + "SELECT conv_id, turn, CAST(coalesce(sum(length(text) // 4) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 100 AS INTEGER) AS chunk FROM m")
+@query("w5_token_rollover", "WITH RECURSIVE " + MSG[len("WITH "):] + """, r AS (SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS chars, 0 AS chunk FROM m WHERE turn = 1
+ UNION ALL SELECT m.conv_id, m.turn, CASE WHEN r.chars // 4 >= 100 THEN 0 ELSE r.chars END + length(m.text), r.chunk + CASE WHEN r.chars // 4 >= 100 THEN 1 ELSE 0 END FROM r JOIN m ON m.conv_id = r.conv_id AND m.turn = r.turn + 1)
+SELECT conv_id, turn, CAST(chunk AS INTEGER) AS chunk FROM r""")
 def _(spark, d):
     return history.token_rollover(messages(spark, d), 100)
 
 
+@query("w3_summary_prompt", MSG + """, w AS (SELECT *, regexp_extract_all(text, '[^ \\t\\n\\r]+') AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM m),
+ y AS (SELECT *, CASE WHEN r = 1 AND len(w) + 2 > 52 THEN role || ': ' || array_to_string(w[1:50], ' ') || '…' ELSE role || ': ' || text END AS line FROM w),
+ z AS (SELECT *, sum(len(regexp_extract_all(line, '[^ \\t\\n\\r]+')) + 1) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used FROM y)
+SELECT conv_id, 'Summarize the following conversation in a few sentences:' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY turn) AS prompt, CAST(count(*) AS INTEGER) AS kept FROM z WHERE r = 1 OR used <= 52 GROUP BY 1""")
+def _(spark, d):
+    return history.summary_prompt(messages(spark, d), 60)
+
+
 @query("w_history_key", MSG + "SELECT conv_id, sha1(string_agg(role || chr(31) || text, chr(30) ORDER BY turn)) AS key FROM m GROUP BY 1")
 def _(spark, d):
     return history.history_key(messages(spark, d))
@@ -379,14 +482,14 @@ def _(spark, d):
 
 @query("w14_token_guard", C + f", k AS (SELECT point_id, {KEY} AS document, greatest(1, length(text) // 4) AS t FROM c WHERE text IS NOT NULL), u AS (SELECT point_id, document, CAST(sum(t) OVER (PARTITION BY document ORDER BY point_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM k WHERE document IS NOT NULL) SELECT * FROM u WHERE used <= 400")
 def _(spark, d):
-    c = chunks(spark, d, "url", "base_url", "url_lower", "text").where("text is not null").select("point_id", analytics.document_key().alias("document"), "text").where("document is not null")
+    c = chunks(spark, d, "url", "base_url", "url_lower", "text", where="text is not null").select("point_id", analytics.document_key().alias("document"), "text").where("document is not null")
     return chunking.within_tokens(c, "document", "point_id", "text", 400).select("point_id", "document", "used")
 
 
 @query("x9_anchored_urls", C + """, n AS (SELECT point_id, base_url AS url, coalesce(CASE WHEN trim(subsection) <> '' THEN subsection END, CASE WHEN section <> 'Lead' AND trim(section) <> '' THEN section END) AS name FROM c WHERE base_url IS NOT NULL)
 SELECT point_id, CASE WHEN contains(url, '#') OR name IS NULL THEN url ELSE url || '#' || coalesce(nullif(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'section') END AS url FROM n""")
 def _(spark, d):
-    return chunks(spark, d, "base_url", "section", "subsection").where("base_url is not null").select("point_id", chunking.anchored_url(F.col("base_url"), F.col("section"), F.col("subsection")).alias("url"))
+    return chunks(spark, d, "base_url", "section", "subsection", where="base_url is not null").select("point_id", chunking.anchored_url(F.col("base_url"), F.col("section"), F.col("subsection")).alias("url"))
 
 
 @query("f_normalised_text")
@@ -396,17 +499,17 @@ def _(spark, d):
 
 @query("f_urls", C + "SELECT point_id, regexp_replace(url, '#.*$', '') AS page, regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\\-]*://([^/?#]*)', 1), '^.*@|:[0-9]*$', '') AS host, sha256(url) AS digest FROM c WHERE url IS NOT NULL")
 def _(spark, d):
-    return chunks(spark, d, "url").where("url is not null").select("point_id", T.strip_fragment(F.col("url")).alias("page"), T.host(F.col("url")).alias("host"), F.sha2("url", 256).alias("digest"))
+    return chunks(spark, d, "url", where="url is not null").select("point_id", T.strip_fragment(F.col("url")).alias("page"), T.host(F.col("url")).alias("host"), F.sha2("url", 256).alias("digest"))
 
 
 # Joins and ranking
 
 
-@query("w10_rerank_decision", """WITH s AS (SELECT o_custkey AS query_id, o_orderkey AS id, round(o_totalprice / 500000.0, 8) AS score FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s),
- g AS (SELECT query_id, count(*) AS n, max(CASE WHEN r = 1 THEN score END) AS top1, coalesce(max(CASE WHEN r = 5 THEN score END), min(score)) AS top5 FROM r GROUP BY 1)
-SELECT *, CASE WHEN n <= 1 THEN 'single' WHEN n < 5 THEN 'few' WHEN top1 >= 0.85 THEN 'clear' WHEN top1 - top5 < 0.05 THEN 'rerank' ELSE 'keep' END AS reason FROM g""")
+@query("w10_rerank_decision", """WITH s AS (SELECT o_custkey AS query_id, o_orderkey AS id, round(o_totalprice / 500000.0, 8) AS score, o_orderpriority = '1-URGENT' AS exact FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s),
+ g AS (SELECT query_id, count(*) AS n, max(CASE WHEN r = 1 THEN score END) AS top1, min(CASE WHEN r <= 5 THEN score END) AS top5, coalesce(max(CASE WHEN r <= 5 AND exact AND score >= 0.8 THEN 1 END), 0) = 1 AS exact FROM r GROUP BY 1)
+SELECT query_id, n, top1, top5, CASE WHEN n <= 1 THEN 'single' WHEN n < 5 THEN 'few' WHEN exact THEN 'exact' WHEN top1 >= 0.60 AND top1 - top5 >= 0.15 THEN 'clear' ELSE 'rerank' END AS reason FROM g""")
 def _(spark, d):
-    return ranking.rerank_decision(table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") / 500000.0, 8).alias("score")))
+    return ranking.rerank_decision(table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") / 500000.0, 8).alias("score"), (F.col("o_orderpriority") == "1-URGENT").alias("exact")))
 
 
 PLACES = "SELECT c_custkey AS id, (c_custkey * 7919 % 16000) / 100.0 - 80 AS lat, (c_custkey * 104729 % 36000) / 100.0 - 180 AS lng FROM customer"
@@ -441,7 +544,7 @@ def _(spark, d):
 
 @query("j8_drop_contained", C + ", b AS (SELECT base_url AS doc_id, coalesce(section_index, 0) AS section_index, CASE WHEN subsection IS NULL THEN 2 ELSE 3 END AS level, point_id AS pos, text FROM c WHERE base_url IS NOT NULL AND text IS NOT NULL) SELECT doc_id, pos FROM b x WHERE NOT EXISTS (SELECT 1 FROM b y WHERE y.doc_id = x.doc_id AND y.section_index = x.section_index AND y.level > x.level AND y.text <> '' AND contains(x.text, y.text))")
 def _(spark, d):
-    c = chunks(spark, d, "base_url", "section_index", "subsection", "text").where("base_url is not null and text is not null")
+    c = chunks(spark, d, "base_url", "section_index", "subsection", "text", where="base_url is not null and text is not null")
     blocks = c.select(F.col("base_url").alias("doc_id"), F.coalesce("section_index", F.lit(0)).alias("section_index"), F.when(F.col("subsection").isNull(), 2).otherwise(3).alias("level"), F.col("point_id").alias("pos"), "text")
     return ranking.drop_contained(blocks).select("doc_id", "pos")
 
@@ -453,7 +556,98 @@ def _(spark, d):
 
 @query("u2_ordered_dedup", C + "SELECT min(point_id) AS point_id, count(*) AS copies FROM c WHERE text IS NOT NULL GROUP BY text")
 def _(spark, d):
-    return chunks(spark, d, "text").where("text is not null").groupBy(F.sha2("text", 256)).agg(F.min("point_id").alias("point_id"), F.count(F.lit(1)).alias("copies")).select("point_id", "copies")
+    return chunks(spark, d, "text", where="text is not null").groupBy(F.sha2("text", 256)).agg(F.min("point_id").alias("point_id"), F.count(F.lit(1)).alias("copies")).select("point_id", "copies")
+
+
+@query("u1_with_new_results", "WITH f AS (SELECT o_custkey AS query_id, o_orderkey % 40 AS u, min(o_orderkey) AS o FROM orders GROUP BY 1, 2), i AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY o) AS INTEGER) AS pos, 'u' || u AS url FROM f), w AS (SELECT o_custkey AS query_id, 'u' || (o_orderkey * 7 % 60) AS url, min(o_orderkey) AS o FROM orders GROUP BY 1, 2), x AS (SELECT w.*, row_number() OVER (PARTITION BY query_id ORDER BY o, url) AS r FROM w ANTI JOIN i USING (query_id, url)), n AS (SELECT query_id, max(pos) AS n FROM i GROUP BY 1) SELECT query_id, pos, url, 'index' AS origin FROM i UNION ALL SELECT query_id, CAST(n + r AS INTEGER), url, 'web' FROM x JOIN n USING (query_id) WHERE r <= 3")
+def _(spark, d):
+    o = table(spark, d, "orders")
+    f = o.groupBy(F.col("o_custkey").alias("query_id"), (F.col("o_orderkey") % 40).alias("u")).agg(F.min("o_orderkey").alias("o"))
+    found = f.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("o")).alias("pos"), F.concat(F.lit("u"), F.col("u").cast("string")).alias("url"))
+    web = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("u"), (F.col("o_orderkey") * 7 % 60).cast("string")).alias("url"))
+    return ranking.with_new_results(found, web)
+
+
+@query("u2_distinct_calls", "WITH c AS (SELECT user_id AS conv_id, event_id AS pos, event_type AS name, CASE WHEN event_id % 4 = 0 THEN 'c' || event_id % 16 END AS call_id, CAST(floor(value) AS VARCHAR) AS args FROM events) SELECT conv_id, pos, name FROM c WHERE trim(name) <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, coalesce(call_id, name || chr(31) || coalesce(args, 'null')) ORDER BY pos) = 1")
+def _(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("name"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("c"), (F.col("event_id") % 16).cast("string"))).alias("call_id"), F.format_string("%.1f", F.floor("value").cast("double")).alias("args"))
+    return ranking.distinct_calls(e).select("conv_id", "pos", "name")
+
+
+@query("a6_payload_fields", " UNION ALL ".join(f"SELECT '{f}' AS field, count({f}) AS rows FROM c HAVING count({f}) > 0" for f in ("title", "section", "subsection", "page_number", "content_type")).join([C, ""]))
+def _(spark, d):
+    return analytics.payload_fields(chunks(spark, d, "title", "section", "subsection", "page_number", "content_type").drop("point_id"))
+
+
+MARGINS = C + """, n AS (SELECT base_url AS doc_id, point_id AS page, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS pos FROM c WHERE text IS NOT NULL AND base_url IS NOT NULL),
+ s AS (SELECT *, lower(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS line FROM n), a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos) AS up, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos DESC) AS down FROM s WHERE line <> ''),
+ g AS (SELECT doc_id, count(DISTINCT page) AS pages FROM n GROUP BY 1), k AS (SELECT doc_id, line, count(*) AS occurrences FROM a WHERE (up <= 3 OR down <= 3) AND length(line) >= 5 GROUP BY 1, 2),
+ f AS (SELECT doc_id, line, occurrences FROM k JOIN g USING (doc_id) WHERE occurrences >= greatest(2, floor(pages * 0.6))) """
+
+
+@query("a12_repeated_margins", MARGINS + "SELECT * FROM f")
+def _(spark, d):
+    return analytics.repeated_margins(_margin_lines(spark, d))
+
+
+def _margin_lines(spark: SparkSession, d: str) -> DataFrame:
+    c = chunks(spark, d, "text", "base_url", where="text is not null and base_url is not null")
+    return c.select(F.col("base_url").alias("doc_id"), F.col("point_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+
+
+@query("j9_without_margins", MARGINS + ", m AS (SELECT a.doc_id, a.page, a.pos, a.line FROM a JOIN f USING (doc_id, line) WHERE up <= 3 OR down <= 3), d AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY page, pos) > 1) SELECT page, count(*) AS lines FROM n ANTI JOIN d USING (doc_id, page, pos) GROUP BY 1")
+def _(spark, d):
+    return analytics.without_repeated_margins(_margin_lines(spark, d)).groupBy("page").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("x6_heading_lines", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
+ s AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, trim(t, ' ' || chr(9) || chr(13)) AS s FROM l), n AS (SELECT *, regexp_extract(s, '^([0-9]+(?:\\.[0-9]+){0,2})\\s+(.+)$', 1) AS num, length(regexp_replace(s, '[^\\p{L}]', '', 'g')) AS letters, length(regexp_replace(s, '[^\\p{Lu}]', '', 'g')) AS caps FROM s)
+SELECT doc_id, pos, CAST(CASE WHEN num <> '' THEN least(3, length(regexp_replace(num, '[^.]', '', 'g')) + 1) ELSE 1 END AS INTEGER) AS level FROM n WHERE s <> '' AND (num <> '' OR (letters BETWEEN 4 AND 60 AND caps > 0.8 * letters))""")
+def _(spark, d):
+    l = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "t"))
+    return l.select("doc_id", "pos", documents.heading_level(F.col("t")).alias("level")).where("level > 0")
+
+
+@query("f_pdf_normalised")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", documents.pdf_normalise(F.col("text")).alias("text"))
+
+
+@query("x5_wiki_sections")
+def _(spark, d):
+    return documents.wiki_sections(table(spark, d, "documents"), ("references",))
+
+
+@query("x8_process_documents", """WITH r AS (SELECT DISTINCT request_id, content, CASE WHEN lower(trim(coalesce(document_type, 'html'))) IN ('html', 'pdf', 'mediawiki') THEN lower(trim(coalesce(document_type, 'html'))) ELSE 'text' END AS document_type FROM embedding_requests WHERE content IS NOT NULL),
+ w AS (SELECT request_id, document_type, list_filter(regexp_split_to_array(content, '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM r), s AS (SELECT request_id, document_type, w, unnest(range(0, len(w), 400)) AS s, CAST(least(500, (len(w) + 399) // 400) AS INTEGER) AS total_chunks FROM w WHERE len(w) > 0)
+SELECT request_id, document_type, CAST(s // 400 AS INTEGER) AS chunk_index, total_chunks, array_to_string(w[s + 1:s + 500], ' ') AS text, CAST(least(500, len(w) - s) AS INTEGER) AS words FROM s WHERE s // 400 < 500""")
+def _(spark, d):
+    r = table(spark, d, "embedding_requests").select("request_id", "content", "document_type").distinct()
+    return embedding.process_documents(r, "request_id", "content", "document_type")
+
+
+@query("m1_index_rows")
+def _(spark, d):
+    r = table(spark, d, "embedding_requests").select("request_id", "url", "content", "document_type").distinct()
+    c = embedding.process_documents(r, "request_id", "content", "document_type").join(r.select("request_id", "url"), "request_id")
+    return embedding.index_rows(c, embedding.hashing_embedder(), "hash:words", "local", order="request_id")
+
+
+@query("a17_midrange", "SELECT user_id, round((max(value) + min(value)) / 2, 1) AS middle FROM events GROUP BY 1")
+def _(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.round((F.max("value") + F.min("value")) / 2, 1).alias("middle"))
+
+
+@query("o5_numeric_sort", "SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY coalesce(TRY_CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS INTEGER), 0) % 97, c_custkey) AS INTEGER) AS pos FROM customer")
+def _(spark, d):
+    number = F.coalesce(F.regexp_extract("c_name", "([0-9]+)$", 1).try_cast("int"), F.lit(0))
+    return analytics.ranked(table(spark, d, "customer"), "c_nationkey", [number % 97], "c_custkey").select("c_custkey", "pos")
+
+
+@query("f_last_sources", MSG + "SELECT conv_id, turn, length(regexp_replace(text, '\\s+$', '')) AS n FROM m WHERE role = 'assistant'")
+def _(spark, d):
+    """Messages are one line each here, so no block of sources ends them: only blanks go."""
+    return messages(spark, d).where("role = 'assistant'").select("conv_id", "turn", F.length(T.strip_last_sources(F.col("text"))).cast("bigint").alias("n"))
 
 
 # Events
@@ -479,6 +673,26 @@ def _(spark, d):
     return stream.progress(table(spark, d, "events"))
 
 
+@query("st_backlog", "WITH u AS (SELECT user_id, arg_max(ts, event_id) AS since FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 6) GROUP BY 1), e AS (SELECT events.user_id, event_id, ts < since AS replayed, row_number() OVER (PARTITION BY events.user_id, ts < since ORDER BY ts DESC, event_id DESC) AS r FROM events JOIN u USING (user_id)) SELECT user_id, event_id, replayed FROM e WHERE NOT replayed OR r <= 4")
+def _(spark, d):
+    e = table(spark, d, "events")
+    early = e.withColumn("_r", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("_r <= 6")
+    return stream.backlog(e, early.groupBy("user_id").agg(F.max_by("ts", "event_id").alias("since")), 4).select("user_id", "event_id", "replayed")
+
+
+@query("st_until_closed", "SELECT user_id, event_id FROM (SELECT *, coalesce(max(CASE WHEN value > 90 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM events) WHERE c = 0")
+def _(spark, d):
+    return stream.until_closed(table(spark, d, "events"), F.col("value") > 90).select("user_id", "event_id")
+
+
+@query("st_payload", "SELECT event_id, 'stage' AS type, event_type AS stage, CAST(event_id AS VARCHAR) AS id, round(epoch_us(ts) / 1e6, 3) AS ts, CAST(user_id AS VARCHAR) AS user FROM events")
+def _(spark, d):
+    e = table(spark, d, "events")
+    x = stream.payload(F.lit("stage"), F.col("event_type"), F.col("event_id"), F.col("ts"), F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("stage"), F.col("event_type")))
+    j = e.select("event_id", F.from_json(x, "type string, stage string, id string, ts double, user string").alias("x"))
+    return j.select("event_id", "x.*")
+
+
 @query("x2_html_sections")
 def _(spark, d):
     r = table(spark, d, "embedding_requests").where(F.lower(F.trim("document_type")) == "html").dropDuplicates(["request_id"])
@@ -488,7 +702,7 @@ def _(spark, d):
 @query("o3_sorted_fragments", C + ", f AS (SELECT point_id, base_url, lower(regexp_extract(url, '#(.*)$', 1)) AS fragment, coalesce(chunk_index, 1000000000000) AS i FROM c WHERE base_url IS NOT NULL AND url IS NOT NULL) SELECT point_id, CAST(row_number() OVER (PARTITION BY base_url ORDER BY fragment, i, point_id) AS INTEGER) AS pos FROM f")
 def _(spark, d):
     w = Window.partitionBy("base_url").orderBy(F.lower(F.regexp_extract("url", "#(.*)$", 1)), F.coalesce("chunk_index", F.lit(10**12)), "point_id")
-    return chunks(spark, d, "base_url", "url", "chunk_index").where("base_url is not null and url is not null").select("point_id", F.row_number().over(w).alias("pos"))
+    return chunks(spark, d, "base_url", "url", "chunk_index", where="base_url is not null and url is not null").select("point_id", F.row_number().over(w).alias("pos"))
 
 
 @query("a15_upper_median", "SELECT o_custkey, list_sort(list(o_totalprice))[len(list(o_totalprice)) // 2 + 1] AS median FROM orders GROUP BY 1")

@@ -37,6 +37,33 @@ def sessions(events: DataFrame, ttl_seconds: int = 3600, key: str = "user_id") -
     return numbered.groupBy(key, "session").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"))
 
 
+def backlog(events: DataFrame, subscribed: DataFrame, most: int = 512, key: str = "user_id") -> DataFrame:
+    """events with replayed: what a subscriber is given, in order of ts and event_id.  subscribed: key, since.  Events from
+    since on, and of those before it the last `most`, replayed first: the bound is the feature.  Keys without a
+    subscriber get nothing."""
+    at = events.join(subscribed.select(key, "since"), key)
+    before = F.col("ts") < F.col("since")
+    rank = F.row_number().over(Window.partitionBy(key, before).orderBy(F.desc("ts"), F.desc("event_id")))
+    return at.withColumn("replayed", before).withColumn("_r", rank).where(~F.col("replayed") | (F.col("_r") <= most)).drop("_r", "since")
+
+
+def until_closed(events: DataFrame, final: Column, key: str = "user_id") -> DataFrame:
+    """Events of each key up to and with its first final one, after which the stream is closed."""
+    w = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    return events.withColumn("_c", F.coalesce(F.max(F.coalesce(final, F.lit(False)).cast("int")).over(w), F.lit(0))).where("_c = 0").drop("_c")
+
+
+def payload(type_: Column, stage: Column, id_: Column, ts: Column, extra: Column) -> Column:
+    """The JSON of an event: type, stage, id, ts in seconds, and the entries of extra, a map of strings, which override the
+    first three by their own; ts of extra counts where it is a number."""
+    given = F.coalesce(extra, F.create_map().cast("map<string,string>"))
+    of = lambda k: F.try_element_at(given, F.lit(k))
+    seconds = F.coalesce(of("ts").try_cast("double"), F.round(F.unix_micros(ts.cast("timestamp")) / 1e6, 3))
+    own = F.to_json(F.struct(F.coalesce(of("type"), type_).alias("type"), F.coalesce(of("stage"), stage).alias("stage"), F.coalesce(of("id"), id_.cast("string")).alias("id"), seconds.alias("ts")))
+    rest = F.map_filter(given, lambda k, v: ~k.isin("type", "stage", "id", "ts"))
+    return F.when(F.size(rest) == 0, own).otherwise(F.concat(F.regexp_replace(own, r"\}$", ","), F.substring(F.to_json(rest), 2, 1_000_000_000)))
+
+
 def progress(events: DataFrame, key: str = "user_id") -> DataFrame:
     """(key, event_id, done, percent): running count against the total."""
     w = Window.partitionBy(key)
@@ -54,8 +81,8 @@ def stream_sessions(stream: DataFrame, ttl: str = "1 hour", late: str = "10 minu
 
 
 def stream_rollover(stream: DataFrame, turns: int, key: str = "user_id") -> DataFrame:
-    """(key, chunk, events) whenever a key has collected `turns` events; the last of a chunk begins the next one, so that
-    one overlaps.  The state is a count and a chunk number for each key."""
+    """(key, chunk, events) whenever a key has collected `turns` events, counted from 0 again for each chunk.  The state is
+    a count and a chunk number for each key."""
     kind = stream.schema[key].dataType.simpleString()
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -66,7 +93,7 @@ def stream_rollover(stream: DataFrame, turns: int, key: str = "user_id") -> Data
                 n += 1
                 if n >= turns:
                     out.append((k[0], chunk, n))
-                    n, chunk = 1, chunk + 1
+                    n, chunk = 0, chunk + 1
         state.update((n, chunk))
         yield pd.DataFrame(out, columns=[key, "chunk", "events"])
 
