@@ -79,7 +79,7 @@ def wiki_sections(df: DataFrame, skip: tuple[str, ...] = (), id_col: str = "doc_
     w = Window.partitionBy("id", "section_index").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"subsection_index": F.count(is_(3)).over(w).cast("int"), "subsection": F.last(is_(3), ignorenulls=True).over(w)})
     w = Window.partitionBy("id", "section_index", "subsection_index").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("subsubsection", F.last(is_(4), ignorenulls=True).over(w)).withColumn("text", T.clean_wikitext(F.col("t"))).where("text <> ''")
+    rows = rows.withColumn("subsubsection", F.last(is_(4), ignorenulls=True).over(w)).withColumn("text", F.regexp_replace(T.clean_wikitext(F.col("t")), r"^\s+|\s+$", "")).where("text <> ''")
     gone = [x.lower() for x in skip]
     if gone:
         rows = rows.where(~F.lower(F.coalesce("section", F.lit("lead"))).isin(gone))
