@@ -1,15 +1,17 @@
 """Problem 1: tell a page's main body from the furniture of its site.
 
 The layout-aware renderer gives the visible text of each source line and how it is laid out.  It emits everything that
-is visible, so a decision about each rendered line follows, from its layout (runs of short lines, separated items,
-links), its place, the wording of notices, and what the whole site repeats: menu items seen on several of its pages,
-sentences that stand on many, and the section headings that pages in general use.
+is visible, so a decision about each rendered line follows.  No word of any language is known beforehand: what a line is
+comes from its layout (runs of brief lines, separated items, paths, links, labels of lists) and from counts over all
+pages: the menu items and lines of the site; the menu items, brief phrases and longer notices that many sites share; the
+phrases after which titles of other pages follow; and the section headings of pages in general, which stay.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -19,52 +21,6 @@ from pyspark.sql import functions as F
 from tessella.llm.common import cut, page_key, site_key, small
 from tessella.llm.render import Line, render, source_lines
 
-# Words of menus, in English, German, French and Spanish.
-NAV = frozenset("""home|contact|contact us|about|about us|search|login|log in|sign in|sign up|register|forum|news|shop|tickets|weather|maps|
-map|routes|gear|downloads|help|help centre|help center|faq|blog|menu|imprint|privacy|terms|terms of service|careers|jobs|site map|sitemap|
-accessibility|accessibility statement|huts|huts a-z|startseite|kontakt|über uns|suche|anmelden|abmelden|touren|karten|laden|wetter|hilfe|
-impressum|datenschutz|agb|ausrüstung|hütten|nachrichten|aktuelles|accueil|contact|à propos|recherche|connexion|itinéraires|matériel|cartes|
-météo|boutique|aide|actualités|mentions légales|confidentialité|plan du site|inicio|contacto|quiénes somos|buscar|acceder|rutas|mapas|equipo|
-foro|tiempo|tienda|ayuda|noticias|aviso legal|privacidad|mapa del sitio|english|deutsch|français|español""".replace("\n", "").split("|"))
-HOME = frozenset("home|startseite|accueil|inicio|main page|index".split("|"))
-BUTTONS = tuple(sorted("""accept all cookies|accept all|accept|accept cookies|reject all|reject|decline|decline all|only necessary|necessary only|manage preferences|
-preferences|cookie settings|settings|ok, got it|got it|ok|i agree|agree|allow all|customise|customize|save choices|alle akzeptieren|akzeptieren|
-alle ablehnen|ablehnen|nur notwendige|nur erforderliche|einstellungen|zustimmen|verstanden|auswahl speichern|tout accepter|accepter|
-tout refuser|refuser|paramétrer|personnaliser|continuer sans accepter|j'accepte|aceptar todo|aceptar|rechazar todo|rechazar|configurar|
-configuración|solo necesarias|gestionar|de acuerdo|entendido""".replace("\n", "").split("|"), key=len, reverse=True))
-SURE_BUTTONS = frozenset(b for b in BUTTONS if " " in b) - {"de acuerdo", "i agree"}
-
-# Wordings of notices; each must fit the line's lower-case text.
-CONSENT = re.compile(r"""
-    \b(we|this\ (web)?site|wir|nous|nuestr\w+|usa|utilise\w*|verwende\w*|acepta|acceptez|our)\b.*\b(cookies?|traceurs|trackers)\b
-  | \bcookies?\b.*\b(policy|settings|preferences|notice|consent|propias|de\ terceros|richtlinie|zustimm\w+)\b
-  | \b(store|access)\ (or|and)\ (read|access)\ information\ on\ your\ device | \bchange\ your\ choice\b
-  | \bfiles\ in\ your\ browser\b | \byou\ consent\ to\b | \bselect\ which\ (trackers|cookies)\b | \byour\ privacy\ matters\b | \bwe\ value\ your\ privacy\b
-  | \beinwilligung\b.*\bwiderruf\w* | \bmesurer\ l['’]audience\b | \bcambiar\ su\ elección\b | \bstimmen\ sie\b.*\bzu\b
-  | \b(en\ poursuivant|al\ continuar|mit\ der\ nutzung|by\ (continuing|staying|clicking|using))\b.*\b(cookies?|accept\w*|agree|consent\w*|acepta\w*|zu)\b
-""", re.X)
-NOTICE = re.compile(r"""^(
-    skip\ to\ (main\ )?(content|navigation) | zum\ inhalt(\ springen)? | aller\ au\ contenu | (saltar|ir)\ al\ contenido | ☰.{0,12} | \W*menu\W* | menü | menú
-  | (choose|select)\ (your\ )?language\b.* | sprache(\ wählen)?\s*:.* | langue\s*:.* | choisir\ la\ langue.* | idioma\s*:.* | elegir\ idioma.*
-  | (advertisement|advertising|sponsored(\ content)?|promoted|anzeige|werbung|publicité|publicidad|anuncio|patrocinado)\W*
-  | (share|share\ this(\ page)?|teilen|partager|compartir)\s*:.* | share\ (this|on)\ .{0,40} | (tweet|print\ this\ page)
-  | (follow|join)\ us\ on\b.* | folgen\ sie\ uns\b.* | suivez-nous\b.* | síganos\b.*
-  | \d+\ (comments?|kommentare?|commentaires?|comentarios?)\b\s*([-–—|·,].*)? | (log\ in|sign\ in)\ to\ (reply|comment)\b.*
-  | enter\ your\ e-?mail\b.* | your\ e-?mail(\ address)? | (subscribe|sign\ up)\ (to|for)\ (our|the)\ (\w+\ )*(newsletter|updates|mailing\ list|digest)\b.*
-  | (get|receive)\ (our|the)\ (\w+\ )*newsletter\b.* | newsletter(\ abonnieren.*)? | .*\bnewsletter\b.*\b(abonnieren|anmelden|abonnez-vous|inscrivez-vous|suscríbase)\b.*
-  | (abonnez-vous|inscrivez-vous|suscríbase|abonnieren\ sie|jetzt\ abonnieren)\b.*
-  | join\ [\d.,]+\ (readers|subscribers|members|others)\b.* | download\ our\ (free\ )?app\b.* | get\ (our|the)\ (free\ )?app\b.*
-  | (tags|labels|filed\ under|schlagwörter|étiquettes|mots-clés|etiquetas)\s*:.*
-  | (call|ring)\ (our|the)\ (desk|office|team|hotline)\ on\b.*\d.* | (©|\(c\)\ |copyright\ |&copy;).* | .*\b(all\ rights\ reserved|alle\ rechte\ vorbehalten|tous\ droits\ réservés|todos\ los\ derechos\ reservados)\W*
-  | powered\ by\b.{1,60} | no\ part\ of\ this\ (web)?site\ may\ be\b.* | (back\ to|return\ to)\ (the\ )?top\W* | nach\ oben\W* | (retour\ en\ )?haut\ de\ (la\ )?page\W* | volver\ arriba\W*
-)$""", re.X)
-SIDEBAR = re.compile(r"""^\W*(
-    you\ (might|may)\ also\ (like|enjoy)|related\ (articles|posts|pages|stories|links)|most\ (read|popular|viewed)(\ (this|today|of)\b.{0,16})?|in\ this\ section|read\ (next|more|also)|more\ from\ .{1,40}|
-    popular\ (posts|pages|articles)|recent\ (posts|articles|changes)|das\ könnte\ sie\ auch\ interessieren|lesen\ sie\ auch|meistgelesen|am\ meisten\ gelesen|ähnliche\ (artikel|beiträge)|mehr\ zum\ thema|in\ diesem\ (bereich|abschnitt)|
-    à\ lire\ aussi|articles\ (liés|similaires)|les\ plus\ lus|dans\ cette\ (rubrique|section)|vous\ aimerez\ aussi|también\ le\ puede\ interesar|artículos\ relacionados|lo\ más\ leído|en\ esta\ sección|lea\ también
-)\W*$""", re.X)
-STREET = re.compile(r"\b(lane|street|road|avenue|square|gasse|\w*gasse|\w*straße|\w*strasse|\w*weg|\w*platz|rue|boulevard|place|chemin|calle|avenida|plaza|camino)\b")
-
 _SEPARATED = re.compile(r"\s+[|·•]\s+")
 _CRUMBS = re.compile(r"\s+(?:[/»›>→]|::)\s+")
 _MARK = re.compile(r"^(?:[*•+\-–»›>◦▪]\s+|»)")
@@ -73,6 +29,9 @@ _HEADING = re.compile(r"^(#{1,6}\s+|={2,6}\s*)")
 _SENTENCE_END = re.compile(r"[.!?;:…][\"'”’»)\]]*$")
 _OF = re.compile(r"\s+(of|von|de|des|du|del|in|bei)\s+\S+$")
 _SIGNS = re.compile(r"[\W_]+")
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+_LABEL = re.compile(r"([^\W\d][^:,.|]{1,20}):((?:[^,.:;|\d]+,){2,}[^,.:;|\d]+)$")
+_NUMBER_ITEM = re.compile(r"\d+[.)]\s")
 _MEASURE = re.compile(r"\d\s?(km|m|ft|%|°|h)\b|:\s|\d,\d{3}|\d\.\d")
 
 
@@ -106,34 +65,34 @@ def _parts(text: str) -> list[str] | None:
 
 
 def menu_items(lines: list[Line]) -> list[str]:
-    """Items of lines that are menus beyond doubt; votes for the site's menu."""
+    """Items of lines laid out as menus: links that are list items, three or more brief items in a line, runs of brief
+    lines; votes for the menus of the site and of sites in general."""
     out: list[str] = []
     shown = [x for x in lines if x.text]
     for x in shown:
         if x.linked and x.item and _brief(item(x.text)):
             out.append(item(x.text))
-        elif (parts := _parts(x.text)) and (len(parts) > 2 or set(parts) <= NAV):
-            if set(parts) & NAV:
-                out += parts
+        elif (parts := _parts(x.text)) and len(parts) > 2 and not any(_MEASURE.search(p) for p in parts):
+            out += parts
     k = 0
     while k < len(shown):
         e = k
-        while e < len(shown) and _brief(item(shown[e].text)) and not _HEADING.match(shown[e].text):
+        while e < len(shown) and _brief(item(shown[e].text)) and not _HEADING.match(shown[e].text) and not _MEASURE.search(shown[e].text):
             e += 1
-        run = [item(x.text) for x in shown[k:e]]
-        if len(run) >= 4 and sum(r in NAV for r in run) >= 2 and sum(r in NAV for r in run) >= 0.3 * len(run):
-            out += run
+        if e - k >= 4:
+            out += [item(x.text) for x in shown[k:e]]
         k = max(e, k + 1)
     return out
 
 
-def _segmented(text: str, phrases: set[str] | frozenset[str], most: int = 3) -> tuple[int, float]:
-    """How many phrases a line of words falls into, and the share of its words that they cover."""
-    words = [w.strip("|·•+,") or w for w in text.casefold().split()]
+def _segmented(text: str, phrases: frozenset[int], menu: frozenset[str], most: int = 4) -> tuple[int, float]:
+    """How many known phrases and items a line falls into, and the share of its words that they cover."""
+    words = [w.strip("|·•+[]") or w for w in text.casefold().split()]
     k = found = covered = 0
     while k < len(words):
         for n in range(min(most, len(words) - k), 0, -1):
-            if " ".join(words[k : k + n]) in phrases:
+            part = " ".join(words[k : k + n])
+            if part in menu or line_key(part) in phrases:
                 found, covered, k = found + 1, covered + n, k + n
                 break
         else:
@@ -141,90 +100,117 @@ def _segmented(text: str, phrases: set[str] | frozenset[str], most: int = 3) ->
     return found, covered / max(1, len(words))
 
 
-def _buttons(low: str) -> tuple[bool, bool]:
-    """(the line is nothing but consent buttons, at least one of them is unmistakable)"""
-    rest, sure = low.strip(" |·[]"), False
-    n = 0
-    while rest:
-        b = next((b for b in BUTTONS if rest.startswith(b) and not rest[len(b) : len(b) + 1].isalnum()), None)
-        if not b:
-            return False, False
-        sure, n = sure or b in SURE_BUTTONS, n + 1
-        rest = rest[len(b) :].strip(" |·[]")
-    return n > 0, sure or n > 1
+def site_words(url: str | None) -> frozenset[str]:
+    """The words of a host's name, in which a site's own name is written."""
+    labels = (urlsplit(url or "").hostname or "").casefold().split(".")
+    return frozenset(w for w in labels[-2].split("-") if w.isalpha()) if len(labels) > 1 else frozenset()
+
+
+def line_key(text: str, own: frozenset[str] = frozenset(), title: str = "", digits: bool = False) -> int:
+    """A line as it is compared, as a number: its letters, without the site's own name and the page's title; with its
+    digits between the pages of a site, without them between sites."""
+    low = text.casefold()
+    if title and len(title) > 3:
+        low = low.replace(title, "")
+    if own:
+        low = " ".join(w for w in low.split() if _SIGNS.sub("", w) not in own)
+    return int.from_bytes(blake2b((_SIGNS if digits else _NO_LETTERS).sub("", low).encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _label(text: str) -> str:
+    """What stands before the colon of a line that lists three or more names; empty for other lines."""
+    m = _LABEL.match(text)
+    return m[1].strip().casefold() if m else ""
+
+
+def _titled(text: str) -> bool:
+    """Like the title of a page: no sentence, table row, numbered item or measure."""
+    return not (_HEADING.match(text) or _SENTENCE_END.search(text) or text.startswith("|") or _NUMBER_ITEM.match(text) or _MEASURE.search(text)) and len(text.split()) <= 14
+
+
+class Known:
+    """What the pages of a site and of all sites have in common.  items: the site's menu items; lines: keys of lines that
+    stand on many of its pages; nav: menu items of many sites; home: first steps of their paths; phrases: brief lines of
+    many sites; notices: keys of longer lines of many sites; asides: phrases after which titles of other pages follow;
+    headings: section headings of pages in general; labels: what stands before the colon of lists of names."""
+
+    def __init__(self, nav=(), home=(), phrases=(), notices=(), asides=(), headings=(), labels=()):
+        self.nav, self.home, self.phrases = frozenset(nav), frozenset(home), frozenset(phrases)
+        self.notices, self.asides, self.headings, self.labels = frozenset(notices), frozenset(asides), frozenset(headings), frozenset(labels)
 
 
-def furniture(lines: list[Line], title: str | None, url: str | None, site_items: frozenset[str], headings: frozenset[str], repeated: frozenset[int], pieces: bool, key=None) -> set[int]:
+def furniture(lines: list[Line], title: str | None, url: str | None, known: Known, items: frozenset[str] = frozenset(), repeated: frozenset[int] = frozenset(), pieces: bool = False) -> set[int]:
     """The numbers of the lines that are furniture."""
     shown = [x for x in lines if x.text]
     n = len(shown)
     low = [x.text.casefold() for x in shown]
     path = urlsplit(url or "").path.rstrip("/").rpartition("/")[2]
     slug = re.sub(r"-\d+$", "", path.rsplit(".", 1)[0].casefold())
-    host = re.sub(r"^www\.|-r?\d+$", "", (urlsplit(url or "").hostname or "").split(".example")[0]).replace("-", " ")
-    own_title = (title or "").strip().casefold()
+    own, own_title = site_words(url), (title or "").strip().casefold()
     is_title = [bool(own_title) and re.sub(r"^[#=\s]+|[=\s]+$", "", t) == own_title or bool(slug) and _slug(re.sub(r"^[#=]+", "", t)) == slug for t in low]
-    known = site_items | NAV
+    menu = items | known.nav
+    common = [False] * n
     bad = [False] * n
 
     for k, x in enumerate(shown):
         t = low[k]
-        if is_title[k] or _HEADING.match(x.text) and not NOTICE.match(t):
+        if is_title[k] or t[0] == "|":
+            continue
+        key = line_key(x.text, own, own_title)
+        common[k] = heading(x.text) not in known.headings and (line_key(x.text, own, own_title, True) in repeated or (key in known.phrases if len(t.split()) <= BRIEF else key in known.notices))
+        if _HEADING.match(x.text) and not common[k]:
             continue
         parts, crumbs = _parts(x.text), [item(p) for p in _CRUMBS.split(x.text)]
-        bare = not re.search(r"[.,;:!?…]", x.text)
+        bare = not re.search(r"[.;:!?…]", x.text)
         if x.linked and x.item and len(x.text.split()) <= 6:
             bad[k] = True
-        elif NOTICE.match(t) or CONSENT.search(t):
+        elif common[k]:
             bad[k] = True
-        elif parts and (len(parts) > 2 and (known & set(parts)) or set(parts) <= known):
+        elif parts and (len(parts) > 2 and (menu & set(parts)) or set(parts) <= menu):
             bad[k] = True
         elif parts and len(parts) > 3 and not any(_MEASURE.search(p) for p in parts):
             bad[k] = True
-        elif len(crumbs) > 1 and crumbs[0] and not x.text.startswith(("|", ">")) and not _SENTENCE_END.search(x.text) and (crumbs[0] in HOME or crumbs[0] in known and (len(crumbs) > 2 or crumbs[-1] == own_title or _slug(crumbs[-1]) == slug)):
-            bad[k] = True
-        elif bare and len(x.text.split()) > 3 and (seg := _segmented(x.text, known))[0] > 2 and (seg[1] > 0.6 or seg[1] > 0.4 and x.text.isupper()):
+        elif len(crumbs) > 1 and crumbs[0] and not x.text.startswith(("|", ">")) and not _SENTENCE_END.search(x.text) and (crumbs[0] in known.home or crumbs[0] in menu and (len(crumbs) > 2 or crumbs[-1] == own_title or _slug(crumbs[-1]) == slug)):
             bad[k] = True
-        elif _buttons(t)[0]:
-            near = any(CONSENT.search(low[j]) or _buttons(low[j])[0] for j in range(max(0, k - 3), min(n, k + 4)) if j != k)
-            bad[k] = _buttons(t)[1] or near
-        elif x.text.count(",") >= 1 and len(t) < 110 and not _SENTENCE_END.search(t) and re.search(r"\d", t) and (STREET.search(t) or host and t.startswith(host.split()[0])) and (host and t.startswith(host.split()[0]) or x.text.count(",") >= 2):
+        elif bare and len(x.text.split()) > 1 and (seg := _segmented(x.text, known.phrases, menu))[0] > 1 and (seg[1] > 0.6 or seg[0] > 2 and seg[1] > 0.4 and x.text.isupper()):
             bad[k] = True
-        elif key is not None and len(t.split()) > 4 and t[0] != "|" and key(t) in repeated:
+        elif _label(x.text) in known.labels:
             bad[k] = True
+        elif x.text.count(",") >= 1 and len(t) < 110 and not _SENTENCE_END.search(t) and re.search(r"\d", t) and (name := set(re.findall(r"\w+", t.split(",")[0]))) and name <= own:
+            bad[k] = True  # the site's own name and address
 
     # Menus down the page: runs of short lines, of which enough are known items.
     k = 0
     while k < n:
         e = k
-        while e < n and not bad[e] and _brief(item(shown[e].text)) and not _HEADING.match(shown[e].text) and not _MEASURE.search(shown[e].text) and not is_title[e] and not re.match(r"\d+[.)]\s", shown[e].text):
+        while e < n and not bad[e] and _brief(item(shown[e].text)) and not _HEADING.match(shown[e].text) and not _MEASURE.search(shown[e].text) and not is_title[e] and not _NUMBER_ITEM.match(shown[e].text):
             e += 1
         if e > k:
             names = [item(shown[j].text) for j in range(k, e)]
-            hits = [a in site_items or a in NAV for a in names]
+            hits = [a in menu for a in names]
             # A section heading in plain text ends such a run.
-            while e > k and heading(shown[e - 1].text) in headings and not (names[e - k - 1] in site_items and e - k > 1):
+            while e > k and heading(shown[e - 1].text) in known.headings and not (names[e - k - 1] in items and (e - k > 1 or 0 < k and e < n and bad[k - 1] and bad[e])):
                 e -= 1
             size, good = e - k, sum(hits[: e - k])
             edge = k == 0 or e == n or bad[k - 1] or e < n and bad[e]
-            if size >= 3 and good >= max(1, 0.3 * size) or size == 2 and good == 2 or size == 1 and good == 1 and edge and (names[0] in NAV or pieces) and heading(shown[k].text) not in headings:
+            among = size == 1 and names[0] in items and 0 < k and e < n and bad[k - 1] and bad[e] and item(shown[k - 1].text) in menu and item(shown[e].text) in menu
+            if among or size >= 3 and good >= max(1, 0.3 * size) or size == 2 and good == 2 or size == 1 and good == 1 and edge and (names[0] in known.nav or pieces) and heading(shown[k].text) not in known.headings:
                 for j in range(k, e):
                     bad[j] = True
         k = max(e, k + 1)
 
-    # Sidebars: a heading of theirs and the link titles under it.
+    # Sidebars: a phrase after which titles of other pages follow, and these titles.
     for k in range(n):
-        if SIDEBAR.match(low[k]):
+        if common[k] and line_key(shown[k].text, own, own_title) in known.asides:
             bad[k] = True
             for j in range(k + 1, n):
                 t = shown[j].text
                 body = _MARK.sub("", t)
-                marked = body != t
                 if bad[j]:
-                    if NOTICE.match(low[j]):
+                    if common[j] and not _brief(item(t)):
                         break
                     continue
-                if is_title[j] or _HEADING.match(t) or _SENTENCE_END.search(t) or t.startswith("|") or re.match(r"\d+[.)]\s", t) or _MEASURE.search(t) or len(t.split()) > 14 or not marked and heading(t) in headings:
+                if is_title[j] or not _titled(t) or body == t and heading(t) in known.headings:
                     break
                 bad[j] = True
         elif low[k].startswith("» ") and len(shown[k].text.split()) < 14 and not _SENTENCE_END.search(low[k]):
@@ -239,75 +225,123 @@ def furniture(lines: list[Line], title: str | None, url: str | None, site_items:
             t = x.text
             if bad[k]:
                 continue
-            if is_title[k] or _HEADING.match(t) or _SENTENCE_END.search(t) or t.startswith(("|", ">")) or re.match(r"\d+[.)]\s", t) or _MEASURE.search(t) or len(t.split()) > 14 or len(t) > 100 or re.search(r"[=(`]", t) or not _MARK.sub("", t)[:1].isupper() or heading(_MARK.sub("", t)) in headings:
+            if is_title[k] or not _titled(t) or t.startswith(">") or len(t) > 100 or re.search(r"[=(`]", t) or not _MARK.sub("", t)[:1].isupper() or heading(_MARK.sub("", t)) in known.headings:
                 break
             bad[k] = True
     return {x.number for x, b in zip(shown, bad) if b}
 
 
-def line_key(low: str) -> int:
-    """A line's letters and digits, as a number."""
-    from hashlib import blake2b
+#: Lines of up to so many words are phrases, longer ones notices.
+BRIEF = 4
 
-    return int.from_bytes(blake2b(_SIGNS.sub("", low).encode(), digest_size=8).digest(), "little", signed=True)
+
+def votes(lines: list[Line], title: str | None, url: str | None) -> set[tuple[str, str]]:
+    """(kind, name) of what a page says about menu items (m), first steps of paths (c), headings (h), its lines (r within
+    the site, p and n, brief and longer, among sites), labels (l), and the brief lines (t) after which titles follow (f)."""
+    own, own_title = site_words(url), (title or "").strip().casefold()
+    shown = [x for x in lines if x.text]
+    out = {("m", x) for x in menu_items(lines)}
+    for k, x in enumerate(shown):
+        if x.text[0] == "|":
+            continue
+        if _HEADING.match(x.text) and len(x.text) < 80:
+            out.add(("h", heading(x.text)))
+        words = len(x.text.split())
+        key = str(line_key(x.text, own, own_title))
+        out.add(("n" if words > BRIEF else "p", key))
+        out.add(("r", str(line_key(x.text, own, own_title, True))))
+        if label := _label(x.text):
+            out.add(("l", label))
+        if words <= 2 * BRIEF and not _SENTENCE_END.search(x.text):
+            out.add(("t", key))
+            after = shown[k + 1 : k + 3]
+            if len(after) == 2 and all(_titled(y.text) and len(y.text.split()) > 1 and "|" not in y.text and not y.linked for y in after) and any(len(y.text.split()) > 2 for y in after):
+                out.add(("f", key))
+        crumbs = [item(q) for q in _CRUMBS.split(x.text)]
+        if len(crumbs) > 2 and all(_brief(q) for q in crumbs[:-1]) and not x.text.startswith(">"):
+            out.add(("c", crumbs[0]))
+    return out
 
 
 def is_html(document_type: Column) -> Column:
     return F.coalesce(F.lower(F.trim(document_type)) == "html", F.lit(False))
 
 
-#: An item or line is the site's own from so many of its pages on, and from this share of them on.
+#: A menu item or line is the site's own from so many of its pages on, and from this share of them on.
 MIN_PAGES, MIN_SHARE, MIN_LINE_PAGES, MIN_LINE_SHARE = 2, 0.01, 4, 0.03
-#: A heading is a common one from this share of all pages on (so there are few of them), and so many pages.
-HEADING_SHARE, HEADING_PAGES = 0.0005, 3
-MAX_BROADCAST_SITES = 50_000
+#: What sites share stands on so many of them, and on this share of them (so there is little of it); first steps of
+#: paths on a larger share.
+MIN_SITES, SITE_SHARE, HOME_SHARE = 3, 0.02, 0.1
+#: A heading, or a phrase before titles, is a common one from this share of all pages on, and so many pages; a phrase
+#: before titles has them on this part of its pages.
+PAGE_SHARE, PAGES, BEFORE = 0.0005, 3, 0.3
+#: Items and lines of sites are broadcast up to so many bytes; beyond that their join is shuffled, each site in PARTS.
+MAX_BROADCAST_BYTES, PARTS = 64 << 20, 16
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: dict[str, list] = {"site": [], "page": [], "kind": [], "name": []}
-        for site, page, content in zip(*(b.column(c).to_pylist() for c in ("site", "page", "content"))):
-            lines = source_lines(content.replace("\r", ""))
-            names = {("m", x) for x in menu_items(lines)}
-            names |= {("h", heading(x.text)) for x in lines if _HEADING.match(x.text) and len(x.text) < 80}
-            names |= {("r", str(line_key(x.text.casefold()))) for x in lines if len(x.text.split()) > 4}
-            for kind, name in sorted(names):
-                for c, v in zip(out, (site if kind != "h" else "", page, kind, name)):
+        for site, page, content, title, url in zip(*(b.column(c).to_pylist() for c in ("site", "page", "content", "title", "url"))):
+            for kind, name in sorted(votes(source_lines(content.replace("\r", " ")), title, url)):
+                for c, v in zip(out, (site, page, kind, name)):
                     out[c].append(v)
         yield pa.RecordBatch.from_pydict(out, pa.schema([(c, pa.int64() if c == "page" else pa.string()) for c in out]))
 
 
+def _known(counted: DataFrame, pages: int, sites: int) -> Known:
+    """What sites have in common, from counted (site, kind, name, n pages, own: enough of the site's pages)."""
+    named = counted.where("site <> ''")
+    among = named.where("kind in ('c', 'p', 'n', 'l') or kind = 'm' and own").groupBy("kind", "name").agg(F.count(F.lit(1)).alias("sites"))
+    share = F.greatest(F.lit(MIN_SITES), F.lit(sites) * F.when(F.col("kind") == "c", HOME_SHARE).otherwise(SITE_SHARE))
+    got: dict[str, set[str]] = {k: set() for k in "cpnlmhf"}
+    for r in among.where(F.col("sites") >= share).select("kind", "name").toLocalIterator():
+        got[r["kind"]].add(r["name"])
+    # Numbers of pages, summed over the sites.
+    total = counted.where("kind in ('h', 'f', 't')").groupBy("name").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(k) for k in "hft"))
+    least = max(PAGES, PAGE_SHARE * pages)
+    for r in total.where((F.col("h") >= least) | (F.col("f") >= least) & (F.col("f") >= BEFORE * F.col("t"))).toLocalIterator():
+        got["h" if (r["h"] or 0) >= least else "f"].add(r["name"])
+    return Known(got["m"] - got["h"], got["c"], map(int, got["p"]), map(int, got["n"]), map(int, got["f"]), got["h"], got["l"])
+
+
 def mark_furniture(df: DataFrame, id_col: str = "request_id", text_col: str = "content") -> DataFrame:
     """(id, content, lines): each web page, or piece of one, once, with the numbers of its furniture lines.
 
     Line numbers start at 1 and count the pieces between \\n.  Only rows whose document_type is html count; a null id
-    or content gives no row, an empty one no lines.  A null url leaves the site unknown: the page is judged alone.
-    Repeated rows of an id count once.  Menu items, repeated lines and headings are counted over all pages by
-    aggregation; the rows of a site are never gathered in one place."""
+    or content gives no row, an empty one no lines.  A null url leaves the site unknown: what sites share still counts.
+    Repeated rows of an id count once.  Everything is counted over all pages by aggregation; the rows of a site are never
+    gathered in one place.  With fewer than three sites only what a site repeats itself is known."""
     spark = df.sparkSession
     rows = df.where(is_html(F.col("document_type")) & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("content"), "title", "url", "total_chunks").dropDuplicates(["id"])
     link = F.lower(F.trim(F.regexp_replace("url", "#.*$", "")))
     rows = cut(rows.withColumns({"site": F.coalesce(site_key(link), F.lit("")), "page": F.xxhash64(F.coalesce(page_key(link), F.col("id").cast("string")))}), "p1-pages")
-    votes = rows.select("site", "page", "content").mapInArrow(_votes, "site string, page bigint, kind string, name string").where("kind = 'h' or site <> ''").distinct()
-    counted = votes.groupBy("site", "kind", "name").agg(F.count(F.lit(1)).alias("n"))
-    pages = rows.groupBy("site").agg(F.count_distinct("page").alias("pages"))
-    total = rows.select("page").distinct().count()
-    counted = cut(counted.where(F.col("n") >= MIN_PAGES), "p1-counts")
-    common = counted.where((F.col("kind") == "h") & (F.col("n") >= max(HEADING_PAGES, HEADING_SHARE * total)))
-    headings = spark.sparkContext.broadcast(frozenset(r["name"] for r in common.select("name").collect()))  # few, by the share
-    own = counted.where("kind <> 'h'").join(pages, "site").where(((F.col("kind") == "m") & (F.col("n") >= F.greatest(F.lit(MIN_PAGES), F.col("pages") * MIN_SHARE))) | ((F.col("kind") == "r") & (F.col("n") >= F.greatest(F.lit(MIN_LINE_PAGES), F.col("pages") * MIN_LINE_SHARE))))
+    said = rows.select("site", "page", "content", "title", "url").mapInArrow(_votes, "site string, page bigint, kind string, name string").where("kind in ('h', 'f', 't') or site <> ''").distinct()
+    counted = said.groupBy("site", "kind", "name").agg(F.count(F.lit(1)).alias("n"))
+    pages = cut(rows.groupBy("site").agg(F.count_distinct("page").alias("pages")), "p1-pages-of-sites")
+    least = F.when(F.col("kind") == "m", F.greatest(F.lit(MIN_PAGES), F.col("pages") * MIN_SHARE)).otherwise(F.greatest(F.lit(MIN_LINE_PAGES), F.col("pages") * MIN_LINE_SHARE))
+    # A site's number of pages is 16 bytes or so; the sites are at most as many as pages, so their size is checked.
+    counted = cut(counted.join(small(pages, pages.count(), 2_000_000), "site").select("site", "kind", "name", "n", (F.col("n") >= least).alias("own")), "p1-counts")
+    size = pages.agg(F.sum("pages").alias("pages"), F.count_if(F.col("site") != "").alias("sites")).first()
+    shipped = spark.sparkContext.broadcast(_known(counted, size["pages"] or 0, size["sites"]))  # little, by the shares
+    mine = counted.where("own and site <> '' and kind in ('m', 'r')")
     # A page votes for its own lines only, so names above a share of a site's pages are few.
-    sites = own.groupBy("site").agg(F.collect_set(F.when(F.col("kind") == "m", F.col("name"))).alias("items"), F.collect_set(F.when(F.col("kind") == "r", F.col("name").cast("bigint"))).alias("repeated"))
+    sites = mine.groupBy("site").agg(F.collect_set(F.when(F.col("kind") == "m", F.col("name"))).alias("items"), F.collect_set(F.when(F.col("kind") == "r", F.col("name").cast("bigint"))).alias("repeated"))
     sites = cut(sites, "p1-sites")
-    joined = rows.join(small(sites, sites.count(), MAX_BROADCAST_SITES), "site", "left")
+    weight = sites.agg(F.sum(100 + 40 * F.size("items") + 8 * F.size("repeated"))).first()[0] or 0
+    if weight <= MAX_BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(sites), "site", "left")
+    else:
+        part = F.pmod(F.xxhash64("id"), F.lit(PARTS))
+        joined = rows.withColumn("part", part).join(sites.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>"))), ["site", "part"], "left")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             marks = []
             for content, title, url, chunks, items, again in zip(*(b.column(c).to_pylist() for c in ("content", "title", "url", "total_chunks", "items", "repeated"))):
                 lines = source_lines(content.replace("\r", " "))
-                marks.append(sorted(furniture(lines, title, url, frozenset(items or ()), headings.value, frozenset(again or ()), (chunks or 1) > 1, line_key)))
+                marks.append(sorted(furniture(lines, title, url, shipped.value, frozenset(items or ()), frozenset(again or ()), (chunks or 1) > 1)))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("content"), pa.array(marks, pa.list_(pa.int32()))], ["id", "content", "lines"])
 
     kind = df.schema[id_col].dataType.simpleString()

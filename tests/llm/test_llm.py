@@ -66,10 +66,29 @@ def test_furniture(spark):
     assert furniture.furniture_lines(df.limit(0)).count() == 0
 
 
+def test_furniture_of_many_sites(spark, monkeypatch):
+    """What several sites share is furniture on a page of a site of its own, in a language that nobody listed."""
+    menu = ["Domus", "Fora", "Quaere"]
+    page = "{m}\nCrustulis utimur ut haec pagina melior fiat anno {k}.\nAccipe omnia\nDe lacu {w}\n## Historia\nLacus {w} profundus est.\nHistoria\nNavis {w} in eo mergitur.\nSi haec placent\nDe monte {w} alto\nDe valle {w} lata\n(c) {k} Omnia iura"
+    word = lambda k: "".join("abcdefghij"[int(c)] for c in str(k)) + "um"
+    one = lambda i, u, k: (i, u, page.format(m=" | ".join(menu), k=k, w=word(k)), f"De lacu {word(k)}", "html", 1)
+    rows = [one(10 * s + k, f"https://s{s}.example/p{k}", 100 * s + k) for s in range(5) for k in range(6)]
+    rows += [one(999, "https://lonely.example/q", 777), one(998, None, 888)]
+    df = spark.createDataFrame(rows, "request_id long, url string, content string, title string, document_type string, total_chunks int")
+    got = furniture.furniture_lines(df).toPandas()
+    for k in (0, 23, 999, 998):
+        assert sorted(got[got.request_id == k].line_no) == [1, 2, 3, 9, 10, 11, 12], k
+    monkeypatch.setattr(furniture, "MAX_BROADCAST_BYTES", -1)  # the shuffled join gives the same
+    again = furniture.furniture_lines(df).toPandas()
+    assert set(map(tuple, again.values)) == set(map(tuple, got.values))
+
+
 def test_long_sidebar():
     names = "Harbour Walls,Winter Ferries,Old Mills,Quiet Valleys,Stone Bridges,Northern Lamps,Salt Roads,Market Days,Paper Kites,Copper Roofs,Glass Towers,Moss Gardens,River Songs".split(",")
     page = ["Lakes of the north", "The lake is deep.", "You might also like", *names, "The shore is long and flat."]
-    got = furniture.furniture(render.source_lines("\n".join(page)), "Lakes of the north", None, frozenset(), frozenset(), frozenset(), False)
+    key = furniture.line_key(page[2])
+    known = furniture.Known(phrases=[key], asides=[key])
+    got = furniture.furniture(render.source_lines("\n".join(page)), "Lakes of the north", None, known)
     assert got == set(range(3, 4 + len(names)))
 
 
