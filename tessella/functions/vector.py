@@ -20,6 +20,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n)
 
 
+def strict_cosine(a: Column, b: Column) -> Column:
+    """Fails where a vector has no length; the lengths of both must be the same."""
+    n = norm(a) * norm(b)
+    return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors of different lengths")).cast("double")).when(n > 0, dot(a, b) / n).otherwise(F.raise_error(F.lit("a vector has no length")).cast("double"))
+
+
 def normalised(a: Column) -> Column:
     n = norm(a)
     return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))

@@ -89,6 +89,16 @@ def ranked(df: DataFrame, group: str, order: list[Column], id_col: str, width: i
     return j.select(*(F.col(f"r.{c}").alias(c) for c in df.columns), (F.col("s._s") + F.col("r._r")).cast("int").alias("pos"))
 
 
+def evict_idle(summaries: DataFrame, now: Column, idle_seconds: int = 3600) -> tuple[DataFrame, DataFrame]:
+    """summaries: ns, key, text, last_seen.  (those that stay, one row: namespaces_cleared, summaries_removed,
+    reclaimed_bytes): a namespace goes if all of it was last seen more than idle_seconds before now, or never."""
+    last = summaries.groupBy("ns").agg(F.max("last_seen").alias("_l"))
+    idle = last.where(F.col("_l").isNull() | (F.unix_micros(now.cast("timestamp")) - F.unix_micros("_l") > idle_seconds * 1_000_000)).select("ns")
+    gone = summaries.join(idle, "ns", "left_semi")
+    report = gone.agg(F.count_distinct("ns").alias("namespaces_cleared"), F.count(F.lit(1)).alias("summaries_removed"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("reclaimed_bytes"))
+    return summaries.join(idle, "ns", "left_anti"), report
+
+
 def collapse_sources(context: DataFrame) -> DataFrame:
     """context: idx, url, section, subsection.  One entry a place with all numbers that point there, in order of the
     first: `[1, 3] url (Section: a > b)`."""

@@ -122,3 +122,23 @@ def index_rows(chunks: DataFrame, embedder: Embedder, model: str, provider: str,
     out = embed(rows, text_col, embedder)
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return out.withColumns({"embedding_magnitude": norm, "embedding_normalized": F.abs(norm - 1) < 1e-3})
+
+
+def memoised(df: DataFrame, text_col: str, out_col: str, model: Callable[[Sequence[str]], Sequence[str]], batch: int = BATCH) -> DataFrame:
+    """df with out_col, what a model of texts (a summariser, a rewriter) makes of text_col; null for null.  Equal texts, of
+    which there are many where a cache pays, are asked once: by their hash, before Python sees them."""
+    keyed = df.withColumn("_k", F.sha1(F.col(text_col)))
+    asked = keyed.where(F.col(text_col).isNotNull()).groupBy("_k").agg(F.first(text_col).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, batch):
+                c = b.slice(lo, batch)
+                yield pa.RecordBatch.from_arrays([c.column("_k"), pa.array(list(model(c.column("t").to_pylist())), pa.string())], ["_k", out_col])
+
+    return keyed.join(asked.mapInArrow(run, f"_k string, `{out_col}` string"), "_k", "left").drop("_k")
+
+
+def first_sentences(words: int = 40) -> Callable[[Sequence[str]], list[str]]:
+    """A summariser that needs no model: the first words of each text."""
+    return lambda texts: [" ".join(t.split()[:words]) for t in texts]

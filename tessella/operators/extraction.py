@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import markup
@@ -64,6 +64,16 @@ def html_tables(df: DataFrame, per: int = 12, id_col: str = "page_id", html_col:
     return out.withColumnRenamed("id", id_col)
 
 
+def page_chunks(df: DataFrame, skip: tuple[str, ...] = (), id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, chunk_index, total_chunks, content_type, section, subsection, text): the infobox, then the text of the
+    sections, then the tables of each page, numbered through."""
+    parts = html_sections(df, skip, id_col, html_col).where("kind = 'text'").select(id_col, F.lit(1).alias("_o"), F.col("block").alias("_a"), F.lit(0).alias("_b"), F.lit("text").alias("content_type"), "section", "subsection", "text")
+    tabs = html_tables(df, id_col=id_col, html_col=html_col).select(id_col, F.when(F.col("content_type") == "infobox", 0).otherwise(2).alias("_o"), F.col("table_index").alias("_a"), F.col("table_chunk_index").alias("_b"), "content_type", F.when(F.col("content_type") == "infobox", "INFOBOX").alias("section"), F.lit(None).cast("string").alias("subsection"), "text")
+    w = Window.partitionBy(id_col)
+    rows = parts.unionByName(tabs).withColumns({"chunk_index": F.row_number().over(w.orderBy("_o", "_a", "_b")) - 1, "total_chunks": F.count(F.lit(1)).over(w)})
+    return rows.select(id_col, "chunk_index", "total_chunks", "content_type", "section", "subsection", "text")
+
+
 def price_points(df: DataFrame, payload_col: str = "payload", id_col: str = "symbol") -> DataFrame:
     """(symbol, pos, d, close) of price payloads: a list, or one under data, prices, history, results, items[0].history
     or the symbol; points name date and close as d/date/t and c/close/v.  Unreadable payloads give no rows."""

@@ -399,6 +399,44 @@ def _(spark, d):
     return metering.running_totals(metering.turn_totals(costs(spark, d))).select("ns", "turn", "tokens", F.round(F.col("cost") * 1e10).cast("bigint").alias("cost_e10"))
 
 
+COST_PARTS = USAGE + """, p AS (SELECT ns, turn, stage, u.model_key, coalesce(input, 0) AS input, coalesce(cached, 0) AS cached, coalesce(output, 0) AS output,
+  CASE WHEN stage = 'embedding' THEN input ELSE greatest(input - cached, 0) END / 1e6 * coalesce(input_rate, 0) AS cp, cached / 1e6 * coalesce(cached_rate, 0) AS cc, output / 1e6 * coalesce(output_rate, 0) AS co FROM u LEFT JOIN r USING (model_key)),
+ q AS (SELECT ns, turn, stage, model_key, input, cached, output, round(cp, 10) AS cost_prompt, round(cc, 10) AS cost_cached, round(co, 10) AS cost_completion, round(cp + cc + co, 10) AS cost_total, CASE WHEN stage = 'embedding' THEN round(cp, 10) ELSE round(cp + cc + co, 10) END AS cost FROM p) """
+RATES = [("model_0", 2.0, 0.5, 8.0), ("model_1", 0.15, 0.075, 0.6)]
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    rates = spark.createDataFrame(RATES, "model_key string, input_rate double, cached_rate double, output_rate double")
+    return metering.cost_parts(usage(spark, d), F.broadcast(rates))  # two rows
+
+
+@query("a8_cost_parts", COST_PARTS + "SELECT * FROM q")
+def _(spark, d):
+    return _parts(spark, d)
+
+
+@query("a9_turn_split", COST_PARTS + "SELECT ns, turn, CAST(sum(CASE WHEN stage = 'embedding' THEN input ELSE 0 END) AS BIGINT) AS embedding, CAST(sum(CASE WHEN stage = 'embedding' THEN 0 ELSE input END) AS BIGINT) AS llm_input, CAST(sum(CASE WHEN stage = 'embedding' THEN 0 ELSE output END) AS BIGINT) AS llm_output, CAST(sum(input + CASE WHEN stage = 'embedding' THEN 0 ELSE output END) AS BIGINT) AS tokens, round(sum(cost), 10) AS cost FROM q GROUP BY 1, 2")
+def _(spark, d):
+    return metering.turn_split(_parts(spark, d))
+
+
+@query("a10_conversation_totals", COST_PARTS + "SELECT ns, CAST(sum(CASE WHEN stage = 'embedding' THEN input ELSE 0 END) AS BIGINT) AS embedding, CAST(sum(CASE WHEN stage = 'embedding' THEN 0 ELSE input END) AS BIGINT) AS llm_input, CAST(sum(CASE WHEN stage = 'embedding' THEN 0 ELSE output END) AS BIGINT) AS llm_output, CAST(sum(input + CASE WHEN stage = 'embedding' THEN 0 ELSE output END) AS BIGINT) AS tokens, round(sum(cost), 8) AS cost FROM q GROUP BY 1")
+def _(spark, d):
+    return metering.conversation_totals(metering.turn_split(_parts(spark, d)))
+
+
+@query("a20_idle_eviction", "WITH l AS (SELECT user_id, max(ts) AS l FROM events GROUP BY 1), g AS (SELECT e.* FROM events e JOIN l USING (user_id) WHERE epoch_us((SELECT max(ts) FROM events)) - epoch_us(l) > 3600000000) SELECT count(DISTINCT user_id) AS namespaces_cleared, count(*) AS summaries_removed, CAST(coalesce(sum(octet_length(encode(props))), 0) AS BIGINT) AS reclaimed_bytes FROM g")
+def _(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("ns"), F.col("event_id").alias("key"), F.col("props").alias("text"), F.col("ts").cast("timestamp").alias("last_seen"))
+    return analytics.evict_idle(e, F.lit(e.agg(F.max("last_seen")).first()[0]))[1]
+
+
+@query("a21_collections", "SELECT k.collection_name, k.dim, k.distance, count(DISTINCT c.point_id) AS points FROM collections k LEFT JOIN chunks c ON c.domain = k.domain GROUP BY 1, 2, 3")
+def _(spark, d):
+    n = chunks(spark, d, "domain", where="domain is not null").groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "collections").join(n, "domain", "left").select("collection_name", "dim", "distance", F.coalesce("n", F.lit(0)).alias("points"))
+
+
 # Conversations
 
 

@@ -131,7 +131,17 @@ def test_sources(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"items": [{"url": "u1", "doc_type": "html", "skip_sections": ["x"]}, {"url": "u2"}], "max_chunks": 5}))
     assert [(r.url, r.max_chunks) for r in files.read_manifest(spark, str(tmp_path / "m.json")).collect()] == [("u1", 5), ("u2", 5)]
     (tmp_path / "p.csv").write_text("name,iata_code,type,lat,lng,scheduled_service\nA,AAA,small,1.5,2.5,yes\nB,,x,,3,no\n")
-    assert [(r.name, r.scheduled_service) for r in files.read_places(spark, str(tmp_path / "p.csv")).collect()] == [("A", True)]
+    assert [(r.name, r.scheduled_service, r.elevation_ft) for r in files.read_places(spark, str(tmp_path / "p.csv")).collect()] == [("A", True, None)]
+    (tmp_path / "q.csv").write_text("name,ident,latitude_deg,longitude_deg,elevation_ft,municipality\nB,X1,1.5,2.5,30,Town\n")
+    assert [(r.ident, r.lat, r.elevation_ft, r.municipality) for r in files.read_places(spark, str(tmp_path / "q.csv")).collect()] == [("X1", 1.5, 30, "Town")]
+    assert files.seed_table(spark, str(tmp_path / "s.jsonl"), str(tmp_path / "seed")) == 1 and spark.read.parquet(str(tmp_path / "seed")).count() == 1
+    assert files.read_shared(spark, str(tmp_path), "p.csv").count() == 1
+    for name in ("../p.csv", "a/b", "*.csv", ""):
+        with pytest.raises(ValueError):
+            files.read_shared(spark, str(tmp_path), name)
+    items = spark.createDataFrame([(1, "u1", "ok", 3, 10), (2, "u2", None, None, None)], "pos int, url string, status string, chunks int, tokens int")
+    lines = [json.loads(r.value) for r in files.progress_lines(items).orderBy("line").collect()]
+    assert [x.get("percent") for x in lines] == [50.0, 100.0, None] and lines[2] == {"event": "summary", "items": 2, "success": 1, "failed": 1, "chunks": 3, "tokens": 10}
     (tmp_path / "a.pdf").write_bytes(b"%PDF")
     assert [(r.name, r["size"]) for r in files.list_files(spark, str(tmp_path)).collect()] == [("a.pdf", 4)]
     prices = spark.createDataFrame([("X", '{"X": [{"d": "2024-01-01", "c": 1.005}, {"date": "2024-01-02", "close": 2}]}'), ("Y", "bad"), ("Z", '{"items": [{"history": [{"t": "2024-01-03", "v": 3}]}]}')], "symbol string, payload string")
@@ -298,3 +308,27 @@ def test_payload_rules(spark):
     assert one(spark, T.strip_last_sources(F.col("a")), a="See Sources: here.\n\nSources:\n[1] x ") == "See Sources: here."
     assert one(spark, T.strip_last_sources(F.col("a")), a="x\nSources: [1]") == "x\nSources: [1]"
     assert one(spark, T.unescape(F.col("a")), a="a &lt;b&gt; &amp;lt; &quot;") == 'a <b> &lt; "'
+
+
+def test_memoised_models(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, None), (4, "d")], "id int, text string")
+    got = embedding.memoised(df, "text", "summary", embedding.first_sentences(2))
+    assert {r.id: r.summary for r in got.collect()} == {1: "a b", 2: "a b", 3: None, 4: "d"}
+
+
+def test_cost_parts_and_eviction(spark):
+    u = spark.createDataFrame([(1, 1, "inference", "m", 100, 40, 10), (1, 1, "inference_tools_synth", "m", 10, 0, 5), (1, 1, "embedding", "m", 50, 20, 9)], "ns int, turn int, stage string, model_key string, input long, cached long, output long")
+    r = spark.createDataFrame([("m", 1.0, 0.5, 2.0)], "model_key string, input_rate double, cached_rate double, output_rate double")
+    parts = {x.stage: x for x in metering.cost_parts(u, r).collect()}
+    assert parts["inference"][-5:] == pytest.approx((60e-6, 20e-6, 20e-6, 100e-6, 100e-6)) and parts["embedding"].cost == pytest.approx(50e-6)
+    t = metering.turn_split(metering.cost_parts(u, r)).first()
+    assert t[2:6] == (50, 110, 15, 175) and t.cost == pytest.approx(170e-6)
+    s = spark.createDataFrame([("a", "k", "é", "2024-01-01 00:00:00"), ("b", "k", "x", "2024-01-01 02:00:00"), ("c", "k", None, None)], "ns string, key string, text string, last_seen string").withColumn("last_seen", F.col("last_seen").cast("timestamp"))
+    kept, report = analytics.evict_idle(s, F.lit("2024-01-01 02:30:00"))
+    assert [x.ns for x in kept.collect()] == ["b"] and report.first()[:] == (2, 2, 2)
+
+
+def test_page_chunks(spark):
+    page = "<table class=infobox><tr><th>Area<td>5</table><p>lead</p><h2>A</h2><p>text</p><table><tr><th>k<tr><td>v</table>"
+    got = extraction.page_chunks(spark.createDataFrame([(1, page)], "page_id long, html string")).orderBy("chunk_index").collect()
+    assert [(r.content_type, r.section, r.total_chunks) for r in got] == [("infobox", "INFOBOX", 4), ("text", "Lead", 4), ("text", "A", 4), ("table", None, 4)]
