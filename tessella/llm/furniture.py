@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from urllib.parse import urlsplit
 
@@ -29,8 +30,10 @@ _HEADING = re.compile(r"^(#{1,6}\s+|={2,6}\s*)")
 _SENTENCE_END = re.compile(r"[.!?;:…][\"'”’»)\]]*$")
 _OF = re.compile(r"\s+(of|von|de|des|du|del|in|bei)\s+\S+$")
 _SIGNS = re.compile(r"[\W_]+")
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+_DIGITS = re.compile(r"\d+")
+_ASCII_SIGNS = bytes(c for c in range(128) if not chr(c).isalnum())
 _LABEL = re.compile(r"([^\W\d][^:,.|]{1,20}):((?:[^,.:;|\d]+,){2,}[^,.:;|\d]+)$")
+_STOPS = re.compile(r"[.;:!?…]")
 _NUMBER_ITEM = re.compile(r"\d+[.)]\s")
 _MEASURE = re.compile(r"\d\s?(km|m|ft|%|°|h)\b|:\s|\d,\d{3}|\d\.\d")
 
@@ -55,8 +58,8 @@ def _brief(text: str, words: int = 4, chars: int = 32) -> bool:
 
 def _parts(text: str) -> list[str] | None:
     """The items of a line that is nothing but items: links in brackets, or parted by bars or dots."""
-    if text.startswith("|"):
-        return None  # a table row
+    if text.startswith("|") or not ("|" in text or "·" in text or "•" in text or "](" in text):
+        return None  # a table row, or nothing that parts
     links = _MARKDOWN_LINK.findall(text)
     if len(links) > 1 and not _MARKDOWN_LINK.sub("", text).strip(" |·•*-"):
         return [item(x) for x in links]
@@ -77,7 +80,7 @@ def menu_items(lines: list[Line]) -> list[str]:
     k = 0
     while k < len(shown):
         e = k
-        while e < len(shown) and _brief(item(shown[e].text)) and not _HEADING.match(shown[e].text) and not _MEASURE.search(shown[e].text):
+        while e < len(shown) and len(shown[e].text) < 48 and _brief(item(shown[e].text)) and not _HEADING.match(shown[e].text) and not _MEASURE.search(shown[e].text):
             e += 1
         if e - k >= 4:
             out += [item(x.text) for x in shown[k:e]]
@@ -92,7 +95,7 @@ def _segmented(text: str, phrases: frozenset[int], menu: frozenset[str], most: i
     while k < len(words):
         for n in range(min(most, len(words) - k), 0, -1):
             part = " ".join(words[k : k + n])
-            if part in menu or line_key(part) in phrases:
+            if part in menu or phrase_key(part) in phrases:
                 found, covered, k = found + 1, covered + n, k + n
                 break
         else:
@@ -106,15 +109,31 @@ def site_words(url: str | None) -> frozenset[str]:
     return frozenset(w for w in labels[-2].split("-") if w.isalpha()) if len(labels) > 1 else frozenset()
 
 
-def line_key(text: str, own: frozenset[str] = frozenset(), title: str = "", digits: bool = False) -> int:
-    """A line as it is compared, as a number: its letters, without the site's own name and the page's title; with its
-    digits between the pages of a site, without them between sites."""
+def _number(plain: bytes) -> int:
+    return int.from_bytes(blake2b(plain, digest_size=8).digest(), "little", signed=True)
+
+
+def line_keys(text: str, own: frozenset[str] = frozenset(), title: str = "") -> tuple[int, int]:
+    """A line as it is compared, as numbers: its letters, without the site's own name and the page's title; without its
+    digits, as between sites, and with them, as between the pages of a site.  The same for lines without digits."""
     low = text.casefold()
-    if title and len(title) > 3:
+    if title and len(title) > 3 and title in low:
         low = low.replace(title, "")
-    if own:
+    if own and any(w in low for w in own):
         low = " ".join(w for w in low.split() if _SIGNS.sub("", w) not in own)
-    return int.from_bytes(blake2b((_SIGNS if digits else _NO_LETTERS).sub("", low).encode(), digest_size=8).digest(), "little", signed=True)
+    if low.isascii():
+        signs = low.encode().translate(None, _ASCII_SIGNS)
+        plain = signs.translate(None, b"0123456789")
+    else:
+        text = _SIGNS.sub("", low)
+        signs, plain = text.encode(), _DIGITS.sub("", text).encode()
+    key = _number(plain)
+    return key, key if plain == signs else _number(signs)
+
+
+@lru_cache(300_000)
+def phrase_key(text: str) -> int:
+    return line_keys(text)[0]
 
 
 def _label(text: str) -> str:
@@ -123,6 +142,11 @@ def _label(text: str) -> str:
     return m[1].strip().casefold() if m else ""
 
 
+def _steps(text: str) -> list[str]:
+    """The steps of a path; one where nothing parts them."""
+    return [item(p) for p in _CRUMBS.split(text)] if any(c in text for c in "/»›>→:") else [item(text)]
+
+
 def _titled(text: str) -> bool:
     """Like the title of a page: no sentence, table row, numbered item or measure."""
     return not (_HEADING.match(text) or _SENTENCE_END.search(text) or text.startswith("|") or _NUMBER_ITEM.match(text) or _MEASURE.search(text)) and len(text.split()) <= 14
@@ -147,21 +171,23 @@ def furniture(lines: list[Line], title: str | None, url: str | None, known: Know
     path = urlsplit(url or "").path.rstrip("/").rpartition("/")[2]
     slug = re.sub(r"-\d+$", "", path.rsplit(".", 1)[0].casefold())
     own, own_title = site_words(url), (title or "").strip().casefold()
-    is_title = [bool(own_title) and re.sub(r"^[#=\s]+|[=\s]+$", "", t) == own_title or bool(slug) and _slug(re.sub(r"^[#=]+", "", t)) == slug for t in low]
+    longest = max(len(own_title), 2 * len(slug)) + 12
+    is_title = [len(t) <= longest and (bool(own_title) and t.strip("#= \t") == own_title or bool(slug) and _slug(t.lstrip("#=")) == slug) for t in low]
     menu = items | known.nav
-    common = [False] * n
+    common, aside = [False] * n, [False] * n
     bad = [False] * n
 
     for k, x in enumerate(shown):
         t = low[k]
         if is_title[k] or t[0] == "|":
             continue
-        key = line_key(x.text, own, own_title)
-        common[k] = heading(x.text) not in known.headings and (line_key(x.text, own, own_title, True) in repeated or (key in known.phrases if len(t.split()) <= BRIEF else key in known.notices))
+        key, exact = line_keys(x.text, own, own_title)
+        aside[k] = key in known.asides
+        common[k] = (len(t) > 90 or heading(x.text) not in known.headings) and (exact in repeated or (key in known.phrases if len(t.split()) <= BRIEF else key in known.notices))
         if _HEADING.match(x.text) and not common[k]:
             continue
-        parts, crumbs = _parts(x.text), [item(p) for p in _CRUMBS.split(x.text)]
-        bare = not re.search(r"[.;:!?…]", x.text)
+        parts, crumbs = _parts(x.text), _steps(x.text)
+        bare = not _STOPS.search(x.text)
         if x.linked and x.item and len(x.text.split()) <= 6:
             bad[k] = True
         elif common[k]:
@@ -180,10 +206,11 @@ def furniture(lines: list[Line], title: str | None, url: str | None, known: Know
             bad[k] = True  # the site's own name and address
 
     # Menus down the page: runs of short lines, of which enough are known items.
+    brief = [len(x.text) < 48 and not is_title[j] and _brief(item(x.text)) and not (_HEADING.match(x.text) or _MEASURE.search(x.text) or _NUMBER_ITEM.match(x.text)) for j, x in enumerate(shown)]
     k = 0
     while k < n:
         e = k
-        while e < n and not bad[e] and _brief(item(shown[e].text)) and not _HEADING.match(shown[e].text) and not _MEASURE.search(shown[e].text) and not is_title[e] and not _NUMBER_ITEM.match(shown[e].text):
+        while e < n and not bad[e] and brief[e]:
             e += 1
         if e > k:
             names = [item(shown[j].text) for j in range(k, e)]
@@ -201,7 +228,7 @@ def furniture(lines: list[Line], title: str | None, url: str | None, known: Know
 
     # Sidebars: a phrase after which titles of other pages follow, and these titles.
     for k in range(n):
-        if common[k] and line_key(shown[k].text, own, own_title) in known.asides:
+        if common[k] and aside[k]:
             bad[k] = True
             for j in range(k + 1, n):
                 t = shown[j].text
@@ -236,8 +263,8 @@ BRIEF = 4
 
 
 def votes(lines: list[Line], title: str | None, url: str | None) -> set[tuple[str, str]]:
-    """(kind, name) of what a page says about menu items (m), first steps of paths (c), headings (h), its lines (r within
-    the site, p and n, brief and longer, among sites), labels (l), and the brief lines (t) after which titles follow (f)."""
+    """(kind, name) of what a page says about menu items (m), first steps of paths (c), headings (h), its lines (p and n,
+    brief and longer; r with their digits, if they have any), labels (l), and the lines after which titles follow (f)."""
     own, own_title = site_words(url), (title or "").strip().casefold()
     shown = [x for x in lines if x.text]
     out = {("m", x) for x in menu_items(lines)}
@@ -247,17 +274,18 @@ def votes(lines: list[Line], title: str | None, url: str | None) -> set[tuple[st
         if _HEADING.match(x.text) and len(x.text) < 80:
             out.add(("h", heading(x.text)))
         words = len(x.text.split())
-        key = str(line_key(x.text, own, own_title))
+        plain, exact = line_keys(x.text, own, own_title)
+        key = str(plain)
         out.add(("n" if words > BRIEF else "p", key))
-        out.add(("r", str(line_key(x.text, own, own_title, True))))
+        if exact != plain:
+            out.add(("r", str(exact)))
         if label := _label(x.text):
             out.add(("l", label))
         if words <= 2 * BRIEF and not _SENTENCE_END.search(x.text):
-            out.add(("t", key))
             after = shown[k + 1 : k + 3]
             if len(after) == 2 and all(_titled(y.text) and len(y.text.split()) > 1 and "|" not in y.text and not y.linked for y in after) and any(len(y.text.split()) > 2 for y in after):
                 out.add(("f", key))
-        crumbs = [item(q) for q in _CRUMBS.split(x.text)]
+        crumbs = _steps(x.text)
         if len(crumbs) > 2 and all(_brief(q) for q in crumbs[:-1]) and not x.text.startswith(">"):
             out.add(("c", crumbs[0]))
     return out
@@ -298,9 +326,9 @@ def _known(counted: DataFrame, pages: int, sites: int) -> Known:
     for r in among.where(F.col("sites") >= share).select("kind", "name").toLocalIterator():
         got[r["kind"]].add(r["name"])
     # Numbers of pages, summed over the sites.
-    total = counted.where("kind in ('h', 'f', 't')").groupBy("name").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(k) for k in "hft"))
     least = max(PAGES, PAGE_SHARE * pages)
-    for r in total.where((F.col("h") >= least) | (F.col("f") >= least) & (F.col("f") >= BEFORE * F.col("t"))).toLocalIterator():
+    total = counted.where("kind in ('h', 'f', 'p', 'n')").groupBy("name").agg(*(F.sum(F.when(F.col("kind").isin(*k), F.col("n"))).alias(k) for k in ("h", "f", "pn")))
+    for r in total.where((F.col("h") >= least) | (F.col("f") >= least) & (F.col("f") >= BEFORE * F.col("pn"))).toLocalIterator():
         got["h" if (r["h"] or 0) >= least else "f"].add(r["name"])
     return Known(got["m"] - got["h"], got["c"], map(int, got["p"]), map(int, got["n"]), map(int, got["f"]), got["h"], got["l"])
 
@@ -317,7 +345,7 @@ def mark_furniture(df: DataFrame, id_col: str = "request_id", text_col: str = "c
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("content"), "title", "url", "total_chunks").dropDuplicates(["id"])
     link = F.lower(F.trim(F.regexp_replace("url", "#.*$", "")))
     rows = cut(rows.withColumns({"site": F.coalesce(site_key(link), F.lit("")), "page": F.xxhash64(F.coalesce(page_key(link), F.col("id").cast("string")))}), "p1-pages")
-    said = rows.select("site", "page", "content", "title", "url").mapInArrow(_votes, "site string, page bigint, kind string, name string").where("kind in ('h', 'f', 't') or site <> ''").distinct()
+    said = rows.select("site", "page", "content", "title", "url").mapInArrow(_votes, "site string, page bigint, kind string, name string").where("kind not in ('m', 'r', 'c', 'l') or site <> ''").distinct()
     counted = said.groupBy("site", "kind", "name").agg(F.count(F.lit(1)).alias("n"))
     pages = cut(rows.groupBy("site").agg(F.count_distinct("page").alias("pages")), "p1-pages-of-sites")
     least = F.when(F.col("kind") == "m", F.greatest(F.lit(MIN_PAGES), F.col("pages") * MIN_SHARE)).otherwise(F.greatest(F.lit(MIN_LINE_PAGES), F.col("pages") * MIN_LINE_SHARE))
@@ -325,9 +353,9 @@ def mark_furniture(df: DataFrame, id_col: str = "request_id", text_col: str = "c
     counted = cut(counted.join(small(pages, pages.count(), 2_000_000), "site").select("site", "kind", "name", "n", (F.col("n") >= least).alias("own")), "p1-counts")
     size = pages.agg(F.sum("pages").alias("pages"), F.count_if(F.col("site") != "").alias("sites")).first()
     shipped = spark.sparkContext.broadcast(_known(counted, size["pages"] or 0, size["sites"]))  # little, by the shares
-    mine = counted.where("own and site <> '' and kind in ('m', 'r')")
+    mine = counted.where("own and site <> '' and kind in ('m', 'r', 'p', 'n')")
     # A page votes for its own lines only, so names above a share of a site's pages are few.
-    sites = mine.groupBy("site").agg(F.collect_set(F.when(F.col("kind") == "m", F.col("name"))).alias("items"), F.collect_set(F.when(F.col("kind") == "r", F.col("name").cast("bigint"))).alias("repeated"))
+    sites = mine.groupBy("site").agg(F.collect_set(F.when(F.col("kind") == "m", F.col("name"))).alias("items"), F.collect_set(F.when(F.col("kind") != "m", F.col("name").cast("bigint"))).alias("repeated"))
     sites = cut(sites, "p1-sites")
     weight = sites.agg(F.sum(100 + 40 * F.size("items") + 8 * F.size("repeated"))).first()[0] or 0
     if weight <= MAX_BROADCAST_BYTES:

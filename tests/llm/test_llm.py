@@ -86,7 +86,7 @@ def test_furniture_of_many_sites(spark, monkeypatch):
 def test_long_sidebar():
     names = "Harbour Walls,Winter Ferries,Old Mills,Quiet Valleys,Stone Bridges,Northern Lamps,Salt Roads,Market Days,Paper Kites,Copper Roofs,Glass Towers,Moss Gardens,River Songs".split(",")
     page = ["Lakes of the north", "The lake is deep.", "You might also like", *names, "The shore is long and flat."]
-    key = furniture.line_key(page[2])
+    key = furniture.line_keys(page[2])[0]
     known = furniture.Known(phrases=[key], asides=[key])
     got = furniture.furniture(render.source_lines("\n".join(page)), "Lakes of the north", None, known)
     assert got == set(range(3, 4 + len(names)))
