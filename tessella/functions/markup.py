@@ -14,6 +14,7 @@ DROPPED = frozenset("script style noscript nav footer header aside form button i
 CLOSES = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
+    "thead": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"}),
 }
 
 
@@ -24,24 +25,33 @@ class Element:
     children: list = field(default_factory=list)
 
 
-class _Builder(HTMLParser):
+class Builder(HTMLParser):
+    """Builds the tree of `element`s; unknown end tags are ignored, open elements end with the text."""
+
+    element = Element
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = Element("html")
+        self.root = self.element("body")
         self.open = [self.root]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        ends, barrier = CLOSES.get(tag, ({"p"}, {"td", "th", "li", "div"}) if tag in BLOCK else ((), ()))
+        ends, barrier = CLOSES.get(tag, ({"p"}, {"body", "td", "th", "li", "div"}) if tag in BLOCK else ((), ()))
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in barrier:
                 break
             if self.open[k].tag in ends:
                 del self.open[k:]
-        e = Element(tag, dict(attrs))
+        e = self.element(tag, dict(attrs))
         self.open[-1].children.append(e)
         if tag not in VOID:
             self.open.append(e)
 
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.handle_endtag(tag)
+
     def handle_endtag(self, tag: str) -> None:
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
@@ -53,7 +63,7 @@ class _Builder(HTMLParser):
 
 
 def parse(markup: str | None) -> Element:
-    b = _Builder()
+    b = Builder()
     b.feed(markup or "")
     b.close()
     return b.root
