@@ -8,31 +8,20 @@ table cells aligned in columns.  Every piece of text keeps the number of the sou
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
-from html.parser import HTMLParser
+from dataclasses import dataclass
+
+from tessella.functions.markup import BLOCK, Builder, Element
 
 # Element kinds as HTML defines them.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 UNSEEN = frozenset("script style template noscript head title meta datalist iframe object svg canvas select option".split())
-BLOCK = frozenset("""address article aside blockquote body details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3
-    h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody tfoot thead tr ul caption""".split())
 SPACED = frozenset("p blockquote h1 h2 h3 h4 h5 h6 ul ol table pre dl figure article section".split())
 CELLS = frozenset(("td", "th"))
-# An opening tag ends these open elements, searched up to the given barrier.
-CLOSES = {
-    "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
-    "thead": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"}),
-}
 TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>|<!--")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-@dataclass
-class Node:
-    tag: str
-    attrs: dict[str, str | None] = field(default_factory=dict)
-    children: list = field(default_factory=list)  # nodes, or (line, text)
+class Node(Element):
+    """An element whose children are nodes, or (line, text)."""
 
     @property
     def seen(self) -> bool:
@@ -40,36 +29,10 @@ class Node:
         return not (self.tag in UNSEEN or "hidden" in a or (a.get("aria-hidden") or "") == "true" or _HIDING.search(a.get("style") or "") or (self.tag == "input"))
 
 
-class TreeBuilder(HTMLParser):
-    """Builds the tree; unknown end tags are ignored, open elements end with the text."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = Node("body")
-        self.open = [self.root]
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        ends, barrier = CLOSES.get(tag, ({"p"}, {"body", "td", "th", "li", "div"}) if tag in BLOCK else ((), ()))
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in barrier:
-                break
-            if self.open[k].tag in ends:
-                del self.open[k:]
-        node = Node(tag, dict(attrs))
-        self.open[-1].children.append(node)
-        if tag not in VOID:
-            self.open.append(node)
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
+class TreeBuilder(Builder):
+    """Notes the source line of every text."""
+
+    element = Node
 
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append((self.getpos()[0], data))
