@@ -27,6 +27,9 @@ LANES = 32
 LONGS, NEAR_LONGS = ROWS * BANDS // LANES, 2
 #: Buckets above this many classes are compared block by block (no pair is lost).
 BLOCK_ROWS = 2048
+#: Buckets of which a sample of one class in SAMPLED holds at least HEAVY members are dealt into blocks by that estimate,
+#: without being counted in one place; up to so many of them are broadcast (16 bytes each).
+SAMPLED, HEAVY, MAX_BROADCAST_KEYS = 64, 8, 2_000_000
 #: Up to so many ids of candidates (16 bytes each) are broadcast; beyond that the join with the texts is shuffled.
 MAX_BROADCAST_IDS = 3_000_000
 _SEED = np.random.default_rng(20240501)
@@ -143,10 +146,20 @@ def candidate_pairs(cls: DataFrame, threshold: float) -> DataFrame:
     """Pairs a < b of classes that share a band and of whose packed minima enough agree.
 
     A bucket of more than BLOCK_ROWS classes is compared block by block: each member goes to the pairs of blocks that
-    hold it, so that no task holds more than two blocks of it and no pair is lost."""
+    hold it, so that no task holds more than two blocks of it and no pair is lost.  How many blocks a heavy bucket has is
+    estimated from a sample of all classes, so none of it is gathered to be counted; whatever the estimate, all members
+    of a bucket share it, and the blocks hold all pairs."""
     near = _BITS[:NEAR_LONGS]
     keyed = cls.select("rep", *near, F.posexplode("bands").alias("band", "h")).select("rep", *near, (F.col("band").cast("bigint") * F.lit(1 << 32) + F.col("h")).alias("key"))
-    sized = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    sample = keyed.where(F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(SAMPLED)) == 0).groupBy("key").agg((F.count(F.lit(1)) * SAMPLED).alias("n"))
+    heavy = cut(sample.where(F.col("n") >= HEAVY * SAMPLED), "p5-heavy")
+    many = heavy.count()
+    sized = keyed
+    if many:
+        sized = keyed.join(small(heavy.select("key"), many, MAX_BROADCAST_KEYS), "key", "left_anti")
+    sized = sized.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    if many:
+        sized = sized.unionByName(keyed.join(small(heavy, many, MAX_BROADCAST_KEYS), "key").select(sized.columns))
     sized = sized.withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("int")).withColumn("own", F.pmod(F.hash("rep"), F.col("blocks")))
 
     def side(name: str, own: str, other: str, others: Column) -> DataFrame:

@@ -232,6 +232,9 @@ def test_near_duplicates(spark, monkeypatch):
     assert got <= want and len(got) >= 0.995 * len(want)
     monkeypatch.setattr(near_dups, "BLOCK_ROWS", 2)  # buckets in blocks lose nothing
     assert {(r.point_id_a, r.point_id_b) for r in near_dups.near_duplicate_pairs(df).collect()} == got
+    monkeypatch.setattr(near_dups, "SAMPLED", 1)
+    monkeypatch.setattr(near_dups, "HEAVY", 3)  # nor do heavy buckets
+    assert {(r.point_id_a, r.point_id_b) for r in near_dups.near_duplicate_pairs(df).collect()} == got
     star = {(r.point_id_a, r.point_id_b) for r in near_dups.near_duplicate_pairs(df, expand_up_to=1).collect()}
     assert star < got and {(k * 10, k * 10 + 5) for k in range(120)} <= star
     groups = near_dups.near_duplicate_groups(df, 0.5).toPandas().set_index("point_id").group_id
