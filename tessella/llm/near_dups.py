@@ -29,7 +29,7 @@ LONGS, NEAR_LONGS = ROWS * BANDS // LANES, 2
 BLOCK_ROWS = 2048
 #: Buckets of which a sample of one class in SAMPLED holds at least HEAVY members are dealt into blocks by that estimate,
 #: without being counted in one place; up to so many of them are broadcast (16 bytes each).
-SAMPLED, HEAVY, MAX_BROADCAST_KEYS = 64, 8, 2_000_000
+SAMPLED, HEAVY, MAX_BROADCAST_KEYS = 64, 32, 2_000_000
 #: Up to so many ids of candidates (16 bytes each) are broadcast; beyond that the join with the texts is shuffled.
 MAX_BROADCAST_IDS = 3_000_000
 _SEED = np.random.default_rng(20240501)
@@ -160,6 +160,7 @@ def candidate_pairs(cls: DataFrame, threshold: float) -> DataFrame:
     sized = sized.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
     if many:
         sized = sized.unionByName(keyed.join(small(heavy, many, MAX_BROADCAST_KEYS), "key").select(sized.columns))
+    sized = cut(sized, "p5-shared")  # used for both sides; few classes share a key
     sized = sized.withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("int")).withColumn("own", F.pmod(F.hash("rep"), F.col("blocks")))
 
     def side(name: str, own: str, other: str, others: Column) -> DataFrame:
