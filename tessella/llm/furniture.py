@@ -350,7 +350,7 @@ def mark_furniture(df: DataFrame, id_col: str = "request_id", text_col: str = "c
     pages = cut(rows.groupBy("site").agg(F.count_distinct("page").alias("pages")), "p1-pages-of-sites")
     least = F.when(F.col("kind") == "m", F.greatest(F.lit(MIN_PAGES), F.col("pages") * MIN_SHARE)).otherwise(F.greatest(F.lit(MIN_LINE_PAGES), F.col("pages") * MIN_LINE_SHARE))
     # A site's number of pages is 16 bytes or so; the sites are at most as many as pages, so their size is checked.
-    counted = cut(counted.join(small(pages, pages.count(), 2_000_000), "site").select("site", "kind", "name", "n", (F.col("n") >= least).alias("own")), "p1-counts")
+    counted = cut(counted.join(small(pages, pages.count(), 2_000_000), "site").select("site", "kind", "name", "n", (F.col("n") >= least).alias("own")).where("own or kind not in ('m', 'r')"), "p1-counts")
     size = pages.agg(F.sum("pages").alias("pages"), F.count_if(F.col("site") != "").alias("sites")).first()
     shipped = spark.sparkContext.broadcast(_known(counted, size["pages"] or 0, size["sites"]))  # little, by the shares
     mine = counted.where("own and site <> '' and kind in ('m', 'r', 'p', 'n')")
