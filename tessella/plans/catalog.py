@@ -737,6 +737,70 @@ def _(spark, d):
     return extraction.html_sections(r, id_col="request_id", html_col="content")
 
 
+# Pages built from the tables, so that what is extracted of them is known.
+
+_PLAIN = r"[^\p{L}\p{N}]+"
+
+
+def _plain(c: str) -> Column:
+    t = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), _PLAIN, " "))
+    return F.when(t != "", t).otherwise("none")
+
+
+_PLAIN_SQL = "coalesce(nullif(trim(regexp_replace(coalesce({c}, ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ''), 'none')"
+
+
+@query("x2_built_sections", C + f", n AS (SELECT point_id, {_PLAIN_SQL.format(c='section')} AS s, {_PLAIN_SQL.format(c='subsection')} AS u FROM c)" + """
+SELECT point_id, 0 AS block, 'Lead' AS section, NULL AS subsection, 0 AS section_index, 0 AS subsection_index, 'lead ' || point_id AS text FROM n
+UNION ALL SELECT point_id, 1, s, NULL, 1, 0, 'first ' || point_id FROM n UNION ALL SELECT point_id, 2, s, u, 1, 1, 'second ' || point_id FROM n
+UNION ALL SELECT point_id, 3, s, 'Deep', 1, 1, 'third ' || point_id FROM n UNION ALL SELECT point_id, 4, 'Last', NULL, 3, 0, 'fifth ' || point_id FROM n""")
+def _(spark, d):
+    """Sections, subsections and a fourth level, of which only the third counts; a skipped section takes its own along."""
+    c, i = chunks(spark, d, "section", "subsection"), F.col("point_id").cast("string")
+    html = F.concat(F.lit("<nav>menu</nav><p>lead "), i, F.lit("<h2>"), _plain("section"), F.lit("</h2><p>first "), i, F.lit("<h3>"), _plain("subsection"), F.lit("</h3><div><p>second "), i, F.lit("</div><h4>Deep</h4><p>third "), i, F.lit("<h2>Gone</h2><p>fourth<h3>Child</h3><p>fourth<div class='toc x'><p>toc</div><h2>Last</h2><p>fifth "), i)
+    got = extraction.html_sections(c.select("point_id", html.alias("html")), ("gone",), "point_id")
+    return got.select("point_id", "block", "section", "subsection", "section_index", "subsection_index", "text")
+
+
+@query("x1_built_meta", "SELECT c_custkey, c_name AS title, CASE c_custkey % 4 WHEN 0 THEN 'own ' WHEN 1 THEN 'open ' WHEN 2 THEN 'card ' END || c_custkey AS description FROM customer")
+def _(spark, d):
+    """The description is that of the meta tag, else of the first card that has one."""
+    k, i = F.col("c_custkey") % 4, F.col("c_custkey").cast("string")
+    tag = lambda a, n, word: F.concat(F.lit(f"<meta {a}='{n}' content='{word} "), i, F.lit("'>"))
+    none = F.lit("")
+    html = F.concat(F.lit("<html><head><title> "), F.col("c_name"), F.lit(" </title>"), F.when(k <= 2, tag("name", "twitter:description", "card")).otherwise(none), F.when(k <= 1, tag("property", "og:description", "open")).otherwise(none), F.when(k == 0, tag("name", "description", "own")).otherwise(none), F.lit("</head><body><p>x"))
+    c = table(spark, d, "customer").select("c_custkey", html.alias("html"), F.lit("https://a.example/").alias("url"))
+    return extraction.html_meta(c, "c_custkey").select("c_custkey", "title", "description")
+
+
+@query("x4_built_tables", """WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT o_custkey, CAST(k // 12 AS INTEGER) AS table_chunk_index, CAST((any_value(n) + 11) // 12 AS INTEGER) AS table_total_chunks, 'Columns: key | status' || chr(10) || string_agg(o_orderkey || ' | ok', chr(10) ORDER BY k) AS text FROM r GROUP BY o_custkey, k // 12""")
+def _(spark, d):
+    """A table for each customer, a row for each order: twelve at a time under the column names."""
+    row = F.concat(F.lit("<tr><td>"), F.col("o_orderkey").cast("string"), F.lit("<td>ok<td>"))
+    g = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("r")))).alias("a"))
+    html = F.concat(F.lit("<table><thead><tr><th>key<th>status</thead>"), F.array_join(F.transform("a", lambda x: x["r"]), ""), F.lit("</table>"))
+    got = extraction.html_tables(g.select("o_custkey", html.alias("html")), id_col="o_custkey")
+    return got.select("o_custkey", "table_chunk_index", "table_total_chunks", "text")
+
+
+@query("j4_parsed_order", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '2,0' WHEN 1 THEN '1,1' ELSE '0,1,2' END AS o FROM orders")
+def _(spark, d):
+    """A reply that is an array, one that holds one among words, and one without any."""
+    k = F.col("o_orderkey") % 3
+    reply = F.when(k == 0, "```json\n[2, 0, 7]\n```").when(k == 1, "Best: [1, 1, -4].").otherwise("I don't know")
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(F.transform(ranking.parsed_order(reply, F.lit(3)), lambda x: x.cast("string")), ",").alias("o"))
+
+
+@query("fn_table_fields", "SELECT o_orderkey, 'Date=' || o_orderstatus || ' ; ' || o_orderkey || ',Total=5' AS fields, true AS is_table FROM orders")
+def _(spark, d):
+    """Labels and values of a two-column table in Markdown; a repeated label's values are joined."""
+    md = F.concat(F.lit("| Field | Value |\n|-|-|\n| Date: | "), F.col("o_orderstatus"), F.lit(" |\n| Total | 5<br> |\n| Date | "), F.col("o_orderkey").cast("string"), F.lit(" |\n"))
+    m = documents.table_fields(md)
+    entries = F.array_join(F.transform(F.array_sort(F.map_keys(m)), lambda x: F.concat(x, F.lit("="), m[x])), ",")
+    return table(spark, d, "orders").select("o_orderkey", entries.alias("fields"), documents.is_field_table(md).alias("is_table"))
+
+
 @query("o3_sorted_fragments", C + ", f AS (SELECT point_id, base_url, lower(regexp_extract(url, '#(.*)$', 1)) AS fragment, coalesce(chunk_index, 1000000000000) AS i FROM c WHERE base_url IS NOT NULL AND url IS NOT NULL) SELECT point_id, CAST(row_number() OVER (PARTITION BY base_url ORDER BY fragment, i, point_id) AS INTEGER) AS pos FROM f")
 def _(spark, d):
     w = Window.partitionBy("base_url").orderBy(F.lower(F.regexp_extract("url", "#(.*)$", 1)), F.coalesce("chunk_index", F.lit(10**12)), "point_id")
