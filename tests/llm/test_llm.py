@@ -2,6 +2,7 @@
 
 import os
 import random
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -116,6 +117,38 @@ def test_long_sequences(spark):
     assert list(got[got.length == 7].first_line) == [2]
 
 
+def test_gapped_sequences(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = {k: "".join(c for c in "abcdba" if rng.random() < 0.8) for k in range(14)}
+    texts |= {14: "ab", 15: "aed", 16: "eeb"}
+    page = lambda k: k % 15  # noqa: E731  two texts on pages 0 and 1
+    rows = [(k, f"https://s.example/p{page(k)}", "\n".join(f"line {c}" for c in t)) for k, t in texts.items()]
+    rows += [(3, rows[3][1], "line d\nline d\nline a"), rows[4], (20, "https://t.example/", "line a\nline b")]
+    df = spark.createDataFrame(rows, "point_id long, base_url string, text string").withColumn("url", F.lit(None).cast("string"))
+    support = {}
+    for k, url, text in rows:
+        t = text.replace("line ", "").split("\n")
+        for n in range(1, len(t) + 1):
+            for at in combinations(range(len(t)), n):
+                support.setdefault((url[8], tuple(t[i] for i in at)), set()).add(url)
+    frequent = {p: len(pages) for (site, p), pages in support.items() if len(pages) >= 5}
+    marked = {(k, i + 1) for k, url, text in rows if url[8] == "s" for i, line in enumerate(text.split("\n")) if (line[5],) in frequent}
+    names = []
+    monkeypatch.setattr(repeated_lines, "cut", lambda d, name: names.append(name) or common.cut(d, name))
+    got, ends = (d.toPandas() for d in repeated_lines.prefixspan(df))
+    assert got.groupby("length").patterns.sum().to_dict() == {n: sum(len(p) == n for p in frequent) for n in {len(p) for p in frequent}}
+    at = {}
+    for k, _, text in rows:
+        at.setdefault(k, []).append(text.replace("line ", "").split("\n"))
+    for r in got.itertuples():
+        assert any(len(t) >= max(r.lines) and frequent.get(tuple(t[i - 1] for i in r.lines)) == r.pages for t in at[r.first_doc]) and len(r.lines) == r.length and r.lines[0] == r.first_line
+    assert set(zip(ends.doc, ends.line_no)) == marked
+    deepest = max(int(n[8:]) for n in names if n.startswith("p2-level"))
+    names.clear()
+    assert {(r.point_id, r.line_no) for r in repeated_lines.repeated_lines(df).collect()} == marked
+    assert deepest > 2 and f"p2-level{deepest}" in names  # grown until nothing new is frequent
+
+
 # 3
 
 
